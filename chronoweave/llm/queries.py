@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
+from .cap_filters import near_vectors
+from .license_scan import license_scan
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
+from .pii_surrogates import replace_pii
 from .quality import quality_metrics
 from .secret_scan import secret_scan
 from .sharding import shard_documents
@@ -31,6 +35,17 @@ def _table(name: str):
 _docs, _pages, _vectors = _table("documents"), _table("pages"), _table("embeddings")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files three directories deep under their source."""
+    docs = _docs(spark, sf_dir)
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.expr("doc_id div 10000"), F.expr("doc_id div 100"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license_scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(_docs(spark, sf_dir).select("doc_id", "lang", "source", "text"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(_pages(spark, sf_dir), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
@@ -55,9 +70,13 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_docs(spark, sf_dir))
 
 
+def op9_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_vectors(spark, sf_dir))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_docs(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_url_filters, op4_bpe, op5_mixing, op6_secret_scan, op7_quality_rules, op8_ngram_join, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_pii_surrogates, op3_url_filters, op4_bpe, op5_mixing, op6_secret_scan, op7_quality_rules, op8_ngram_join, op9_cap_filters, op10_sharding)}
 SQL: dict[str, str] = {}
