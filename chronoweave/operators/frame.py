@@ -200,7 +200,7 @@ class Frame:
         order = self._rows_order([e for _, e in items])
         # an aggregate inside another's argument is a value of the group: aggregated first, and joined on the keys
         inner: dict[int, str] = {}
-        left = _inner_aggregates([e for _, e in items])
+        left = list({id(e): e for e in _inner_aggregates([e for _, e in items])}.values())
         while left:
             now = [e for e in left if all(id(x) in inner for x in _inner_aggregates([e]))]
             names = {id(e): hidden() for e in now}
