@@ -39,7 +39,7 @@ FILL = 256
 class ProductCode:
     """Filters for vectors of ``dim`` coordinates."""
 
-    def __init__(self, dim: int, vectors: int, per_vector: float = 12, at_least: int = 4, seed: int = 3):
+    def __init__(self, dim: int, vectors: int, per_vector: float = 64, at_least: int = 32, seed: int = 3):
         rng = np.random.default_rng([seed, dim])
         self.dim, self.width, self.at_least = dim, -(-dim // BLOCKS), at_least
         full = self.width * BLOCKS
@@ -101,7 +101,7 @@ def _scaled(values) -> bytes | None:
     return None if not np.isfinite(top) or top == 0 else (x if 1e-100 < top < 1e100 else x / top).tobytes()
 
 
-def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, per_vector: float = 12) -> DataFrame:
+def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, per_vector: float = 64) -> DataFrame:
     """One row per row of ``table``: vec_id, n_links, component_id and kept."""
     spark = table.sparkSession
 
@@ -136,8 +136,8 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
     def verify(batches):
         for pdf in batches:
-            if len(pdf):
-                yield pdf.loc[np.einsum("ij,ij->i", _unit(pdf.xa), _unit(pdf.xb)) >= cosine, ["a", "b", "ca", "cb"]]
+            for _, same in pdf.groupby(pdf.xa.map(len)):  # both sides have equal lengths
+                yield same.loc[np.einsum("ij,ij->i", _unit(same.xa), _unit(same.xb)) >= cosine, ["a", "b", "ca", "cb"]]
 
     side = lambda k: nodes.select(F.col("node").alias(k), F.col("x").alias(f"x{k}"), F.col("copies").alias(f"c{k}"))
     links = save(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(verify, "a long, b long, ca long, cb long"))
