@@ -12,7 +12,8 @@ Ancestors are joined by path once per directory, not per file.
 
 Defined results: null or empty texts have no licence of their own; a null path has no
 directory; equal scores go to the template that comes first by name; a directory's several
-licences to the best score, then the name; repeated rows give repeated rows.
+licences to the best score, then the name; repeated rows give repeated rows;
+columns named like those added are replaced.
 """
 
 from __future__ import annotations
@@ -101,20 +102,20 @@ def best_template(words: list[str], vectors: dict[str, dict[str, float]], idf: d
 def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``files`` without its text: all other columns, then license, score, inherited_from (a directory, or null)."""
     spark = files.sparkSession
-    keep = [c for c in files.columns if c != text_col]
+    keep = [c for c in files.columns if c not in (text_col, "license", "score", "inherited_from")]
 
     def extract(batches):
         for pdf in batches:
-            found = [blocks(t) if isinstance(t, str) else [] for t in pdf["_text"]]
-            out = pdf.drop(columns="_text")
-            yield out.assign(_blocks=found, _words=[len(t.split()) if b else 0 for t, b in zip(pdf["_text"], found)])
+            found = [blocks(t) if isinstance(t, str) else [] for t in pdf["__lic_text"]]
+            out = pdf.drop(columns="__lic_text")
+            yield out.assign(__lic_blocks=found, __lic_words=[len(t.split()) if b else 0 for t, b in zip(pdf["__lic_text"], found)])
 
-    slim = files.select(*keep, F.col(text_col).alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "_text")
-    rows = save(slim.mapInPandas(extract, f"{fields}, _blocks array<string>, _words int"))
+    slim = files.select(*keep, F.col(text_col).alias("__lic_text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "__lic_text")
+    rows = save(slim.mapInPandas(extract, f"{fields}, __lic_blocks array<string>, __lic_words int"))
 
     vocabulary = sorted({w for t in TEMPLATES.values() for w in terms(t)})
-    each = rows.select(F.explode("_blocks").alias("b"))
+    each = rows.select(F.explode("__lic_blocks").alias("b"))
     seen = each.select(F.explode(F.array_distinct(F.regexp_extract_all("b", F.lit(_WORD.pattern), F.lit(0)))).alias("w"))
     counted = seen.where(F.col("w").isin(vocabulary)).groupBy("w").count().collect()  # as many rows as template words
     idf, rare = inverse_frequencies({r.w: r["count"] for r in counted}, each.count())
@@ -123,24 +124,24 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     def judge(batches):
         for pdf in batches:
             best = []
-            for found, n in zip(pdf["_blocks"], pdf["_words"]):
+            for found, n in zip(pdf["__lic_blocks"], pdf["__lic_words"]):
                 top = min(((*best_template(terms(b), vectors, idf, rare), len(b.split())) for b in found), key=lambda s: (-s[0], s[1], s[2]), default=(0.0, None, 0))
                 best.append((license_of(top[1]), top[0], 5 * top[2] >= n) if top[0] >= threshold else (None, None, False))
-            yield pdf.drop(columns=["_blocks", "_words"]).assign(license=[b[0] for b in best], score=[b[1] for b in best], _notice=[b[2] for b in best])
+            yield pdf.drop(columns=["__lic_blocks", "__lic_words"]).assign(license=[b[0] for b in best], score=[b[1] for b in best], __lic_notice=[b[2] for b in best])
 
-    own = save(rows.mapInPandas(judge, f"{fields}, license string, score double, _notice boolean"))
-    own = own.withColumn("_dir", F.regexp_extract(path_col, r"(?s)^(.*)/[^/]*$", 1)).withColumn("_dir", F.when(F.col(path_col).isNull(), F.lit(None)).otherwise(F.col("_dir")))
+    own = save(rows.mapInPandas(judge, f"{fields}, license string, score double, __lic_notice boolean"))
+    own = own.withColumn("__lic_dir", F.regexp_extract(path_col, r"(?s)^(.*)/[^/]*$", 1)).withColumn("__lic_dir", F.when(F.col(path_col).isNull(), F.lit(None)).otherwise(F.col("__lic_dir")))
     named = F.regexp_extract(path_col, r"([^/]*)$", 1).rlike(LICENCE_FILE)
-    held = own.where(F.col("license").isNotNull() & F.col("_dir").isNotNull() & (F.col("_notice") | named)).groupBy("_dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("h"))
-    held = save(held.select(F.col("_dir").alias("_up"), F.col("h.license").alias("_held")))
+    held = own.where(F.col("license").isNotNull() & F.col("__lic_dir").isNotNull() & (F.col("__lic_notice") | named)).groupBy("__lic_dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("h"))
+    held = save(held.select(F.col("__lic_dir").alias("__lic_up"), F.col("h.license").alias("__lic_held")))
 
     # every directory with its ancestors: itself, then each prefix that ends before a slash, then the root
-    dirs = own.where(F.col("license").isNull() & F.col("_dir").isNotNull()).select("_dir").distinct()
-    labels = F.split("_dir", "/")
+    dirs = own.where(F.col("license").isNull() & F.col("__lic_dir").isNotNull()).select("__lic_dir").distinct()
+    labels = F.split("__lic_dir", "/")
     ancestors = F.transform(F.sequence(F.lit(0), F.size(labels)), lambda k: F.array_join(F.slice(labels, 1, k), "/"))
-    up = dirs.select("_dir", F.explode(F.array_distinct(ancestors)).alias("_up"))
-    nearest = join_small(up, held, ["_up"]).groupBy("_dir").agg(F.max(F.struct(F.length("_up").alias("d"), "_up", "_held")).alias("n"))
-    nearest = save(nearest.select("_dir", F.col("n._up").alias("_up"), F.col("n._held").alias("_held")))
-    out = join_small(own, nearest, ["_dir"], "left")
+    up = dirs.select("__lic_dir", F.explode(F.array_distinct(ancestors)).alias("__lic_up"))
+    nearest = join_small(up, held, ["__lic_up"]).groupBy("__lic_dir").agg(F.max(F.struct(F.length("__lic_up").alias("d"), "__lic_up", "__lic_held")).alias("n"))
+    nearest = save(nearest.select("__lic_dir", F.col("n.__lic_up").alias("__lic_up"), F.col("n.__lic_held").alias("__lic_held")))
+    out = join_small(own, nearest, ["__lic_dir"], "left")
     mine = F.col("license").isNotNull()
-    return out.select(*keep, F.coalesce("license", "_held").alias("license"), "score", F.when(~mine, F.col("_up")).alias("inherited_from"))
+    return out.select(*keep, F.coalesce("license", "__lic_held").alias("license"), "score", F.when(~mine, F.col("__lic_up")).alias("inherited_from"))

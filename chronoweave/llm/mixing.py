@@ -84,6 +84,6 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (not at all where that is 0); needs unique ids."""
-    times = save(mix_sources(docs, id_col=id_col, **options).where("repeats > 0").select(F.col("doc_id").alias("_mix_id"), "repeats").distinct())
-    rows = docs.join(times, F.col(id_col) == F.col("_mix_id"))
-    return rows.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*docs.columns)
+    times = save(mix_sources(docs, id_col=id_col, **options).where("repeats > 0").select(F.col("doc_id").alias("__mix_id"), "repeats").distinct())
+    rows = docs.join(times, F.col(id_col) == F.col("__mix_id"))
+    return rows.withColumn("__mix_turn", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*docs.columns)

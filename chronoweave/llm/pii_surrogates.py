@@ -14,7 +14,8 @@ in conflict, but for one, are drawn again until none is left.
 Only rows with entities are joined with their surrogates; other texts are passed through.
 
 Defined results: a null text stays null; repeated ids share one table of entities; ties
-between entities go to the least canonical form; all other columns are kept.
+between entities go to the least canonical form; all other columns are kept, but for one named n_pii, which is
+replaced.
 """
 
 from __future__ import annotations
@@ -173,19 +174,20 @@ def surrogates(found: DataFrame, key: str, rounds: int = 64) -> DataFrame:
 
 def replace_pii(docs: DataFrame, key: str = "key", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with surrogates in the text, and n_pii, the number of entities replaced."""
-    found = docs.select(F.col(id_col).alias("_id"), F.array_distinct(entities(text_col)).alias("_e")).select("_id", F.explode("_e").alias("entity"))
+    docs = docs.drop("n_pii")
+    found = docs.select(F.col(id_col).alias("__pii_id"), F.array_distinct(entities(text_col)).alias("__pii_e")).select("__pii_id", F.explode("__pii_e").alias("entity"))
     found = found.withColumn("kind", kind_of(F.col("entity"))).withColumn("canon", canonical(F.col("entity"), F.col("kind")))
     found = save(found)
     made = surrogates(found, key)
     mentions = found.select("entity", "kind", "canon").distinct().join(made, ["kind", "canon"])
     mentions = save(mentions.select("entity", poured(F.col("entity"), F.col("kind"), F.col("made")).alias("put")))
-    table = join_small(found.select("_id", "entity").distinct(), mentions, ["entity"])
-    table = table.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("entity", "put"))).alias("_map"))
+    table = join_small(found.select("__pii_id", "entity").distinct(), mentions, ["entity"])
+    table = table.groupBy("__pii_id").agg(F.map_from_entries(F.collect_list(F.struct("entity", "put"))).alias("__pii_map"))
 
     has = F.coalesce(F.size(entities(text_col)) > 0, F.lit(False))
     plain = docs.where(~has).withColumn("n_pii", F.lit(0).cast("long"))
-    own = docs.where(has).join(table, docs[id_col].eqNullSafe(F.col("_id")))
-    own = own.withColumn("_e", entities(text_col))
-    filled = F.zip_with(F.split(text_col, ENTITY, -1), "_e", lambda p, e: F.concat(p, F.coalesce(F.col("_map")[e], e, F.lit(""))))
-    own = own.withColumn("n_pii", F.size("_e").cast("long")).withColumn(text_col, F.array_join(filled, ""))
+    own = docs.where(has).join(table, docs[id_col].eqNullSafe(F.col("__pii_id")))
+    own = own.withColumn("__pii_e", entities(text_col))
+    filled = F.zip_with(F.split(text_col, ENTITY, -1), "__pii_e", lambda p, e: F.concat(p, F.coalesce(F.col("__pii_map")[e], e, F.lit(""))))
+    own = own.withColumn("n_pii", F.size("__pii_e").cast("long")).withColumn(text_col, F.array_join(filled, ""))
     return plain.unionByName(own.select(*docs.columns, "n_pii"))
