@@ -19,6 +19,7 @@ if TYPE_CHECKING:
 DIRECTIONS = ("backward", "forward", "nearest")
 #: Rows of one key, or of a join without keys, that one window sorts.
 SPAN_ROWS = 2_000_000
+ROW_BYTES = 16
 
 
 def _quoted(name: str) -> Column:
@@ -165,23 +166,29 @@ def _asof(left: Frame, right: Frame, l_df: DataFrame, r_df: DataFrame, kl, kr, t
 
 
 def _spans(rows: DataFrame, keys: list[str]) -> Column | None:
-    """Time spans of about SPAN_ROWS rows, for a join that has no keys to spread it.
+    """Time spans of about SPAN_ROWS rows of the largest key, or of a join without keys.
 
-    With keys, a window per key needs none: a key's rows are sorted with spill.
+    None where one window can sort them.  Only tables whose estimated size says that a
+    key could be too large are counted.
     """
-    if keys:
+    if int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SPAN_ROWS * ROW_BYTES:
         return None
-    n = rows.count() // SPAN_ROWS
+    largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    n, kind = largest // SPAN_ROWS, dict(rows.dtypes)["_t"]
     if n < 1:
         return None
-    number = F.unix_micros(F.col("_t").cast("timestamp")) if dict(rows.dtypes)["_t"].startswith("timestamp") else F.col("_t").cast("double") if dict(rows.dtypes)["_t"] in ("bigint", "double") else F.unix_date("_t") if dict(rows.dtypes)["_t"] == "date" else None
-    if number is None:
+    if kind == "timestamp_ntz":
+        number = F.unix_micros(F.col("_t").cast("timestamp"))
+    elif kind == "date":
+        number = F.unix_date("_t")
+    elif kind in ("bigint", "double"):
+        number = F.col("_t")
+    else:
         return None
     cuts = rows.agg(F.percentile_approx(number.cast("double"), [i / (n + 1) for i in range(1, n + 1)], 10_000)).first()[0] or []
-    out = F.lit(0)
-    for c in sorted(set(cuts)):
-        out = out + F.when(number.cast("double") >= c, 1).otherwise(0)
-    return out
+    cuts = sorted(set(cuts))
+    # spans are numbered by the cuts at or below a time
+    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= number.cast("double"))), F.lit(0)) if cuts else None
 
 
 def _carried(rows: DataFrame, whole: DataFrame, keys: list[str], back: bool, ahead: bool) -> DataFrame:
@@ -189,7 +196,12 @@ def _carried(rows: DataFrame, whole: DataFrame, keys: list[str], back: bool, ahe
     ends = rows.where("_side = 0").groupBy(*keys, "_span").agg(
         F.max(F.struct("_t", "_tie", "_r")).getField("_r").alias("_last"), F.min(F.struct("_t", "_tie", "_r")).getField("_r").alias("_first")
     )
-    spans = rows.select(*keys, "_span").distinct().join(ends, [*keys, "_span"], "left")
+    own = rows.select(*keys, "_span").distinct()
+    ends = ends.select(*(F.col(k).alias(f"{k}e") for k in [*keys, "_span"]), "_last", "_first")
+    match = F.lit(True)
+    for k in [*keys, "_span"]:
+        match = match & F.col(k).eqNullSafe(F.col(f"{k}e"))
+    spans = own.join(ends, match, "left").select(*keys, "_span", "_last", "_first")
     w = W.partitionBy(*keys).orderBy("_span")
     spans = spans.select(
         *keys,
@@ -197,7 +209,11 @@ def _carried(rows: DataFrame, whole: DataFrame, keys: list[str], back: bool, ahe
         F.last("_last", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("_before"),
         F.first("_first", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)).alias("_after"),
     )
-    whole = whole.join(spans, [*keys, "_span"], "left")
+    spans = spans.select(*(F.col(k).alias(f"{k}s") for k in [*keys, "_span"]), "_before", "_after")
+    match = F.lit(True)
+    for k in [*keys, "_span"]:
+        match = match & F.col(k).eqNullSafe(F.col(f"{k}s"))
+    whole = whole.join(spans, match, "left")
     if back:
         whole = whole.withColumn("_back", F.coalesce("_back", "_before"))
     if ahead:

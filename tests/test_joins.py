@@ -39,7 +39,10 @@ def sides(spark, seed, keys=3, n=40):
 
 
 @pytest.mark.parametrize("direction,strict,within", [c for c in itertools.product(("backward", "forward", "nearest"), (False, True), (None, 2)) if not (c[0] == "nearest" and c[1])])
-def test_asof_with_keys(spark, direction, strict, within):
+@pytest.mark.parametrize("span", (2_000_000, 4))
+def test_asof_with_keys(spark, monkeypatch, direction, strict, within, span):
+    """Windows by key, and keys cut in time spans."""
+    monkeypatch.setattr(joins, "SPAN_ROWS", span)
     left, right, lf, rf = sides(spark, 7)
     out = lf.join(rf, on=["k"], asof="t", strict=strict, direction=direction, within=within)
     assert out.columns == ["k", "t", "i", "v"]
