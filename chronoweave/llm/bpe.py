@@ -27,6 +27,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -65,37 +66,53 @@ class Encoder:
         self.tok.no_padding()
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.names = [self.tok.id_to_token(i) for i in range(size)]
-        self.known: dict[str, list[int]] = {}
+        #: Ids on their way between tasks take two bytes where the vocabulary allows it.
+        self.sent = "<u2" if size <= 1 << 16 else "<u4"
+        # per pre-token: its ids as bytes, and their text
+        self.blobs: dict[str, bytes] = {}
+        self.texts: dict[str, str] = {}
 
-    def ids(self, text: str) -> list[int]:
+    def encode(self, text: str) -> tuple[bytes, str]:
+        """Ids as little-endian uint32, and decode(ids, skip_special_tokens=False).
+
+        The file has no decoder, so decoding joins the tokens by spaces.
+        """
         if not text:
-            return []
+            return b"", ""
         if not _PLAIN.fullmatch(text) or "<|" in text:
-            return self.tok.encode(text, add_special_tokens=False).ids
-        pieces, known = _PIECES.findall(text.lower()), self.known
-        new = [p for p in set(pieces) if p not in known]
+            ids = self.tok.encode(text, add_special_tokens=False).ids
+            return _pack(ids), self.text(ids)
+        pieces = _PIECES.findall(text.lower())
+        new = set(pieces).difference(self.blobs)
         if new:
-            if len(known) > KNOWN:
-                known.clear()
-                new = list(set(pieces))
-            known.update(zip(new, [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]))
-        out: list[int] = []
-        for p in pieces:
-            out += known[p]
-        return out
+            if len(self.blobs) > KNOWN:
+                self.blobs.clear()
+                self.texts.clear()
+                new = set(pieces)
+            new = list(new)
+            for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
+                self.blobs[p], self.texts[p] = _pack(e.ids), self.text(e.ids)
+        return b"".join(map(self.blobs.__getitem__, pieces)), " ".join(map(self.texts.__getitem__, pieces))
+
+    def to_send(self, text: str) -> bytes:
+        return np.frombuffer(self.encode(text)[0], "<u4").astype(self.sent).tobytes()
+
+    def received(self, blob: bytes) -> tuple[bytes, str]:
+        ids = np.frombuffer(blob, self.sent)
+        return ids.astype("<u4").tobytes(), self.text(ids.tolist())
 
     def text(self, ids) -> str:
-        """decode(ids, skip_special_tokens=False): the file has no decoder, so tokens are joined by spaces."""
         return " ".join([self.names[i] for i in ids])
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def _encoder(spec: str) -> Encoder:
-    if hash(spec) not in _ENCODERS:
-        _ENCODERS[hash(spec)] = Encoder(spec)
-    return _ENCODERS[hash(spec)]
+    """The worker's encoder; kept on an imported module, as this one is unpickled anew for each task."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_chronoweave", {})
+    if spec not in kept:
+        kept[spec] = Encoder(spec)
+    return kept[spec]
 
 
 def _cuts(raw: bytes, every: int) -> Iterator[int]:
@@ -115,9 +132,14 @@ def _cuts(raw: bytes, every: int) -> Iterator[int]:
         at = end
 
 
-def _edge(text: str, last: bool, n: int) -> str:
-    found = text.split()
-    return " ".join(found[-n:] if last else found[:n])
+def _edge(text: str, last: bool) -> str:
+    """The last or first word of a text."""
+    width = 64
+    while True:
+        found = (text[-width:] if last else text[:width]).split()
+        if len(found) > 1 or width >= len(text):
+            return (found[-1] if last else found[0]) if found else ""
+        width *= 8
 
 
 def chunks(text: str, enc: Encoder, every: int = CHUNK_WORDS) -> list[str]:
@@ -137,14 +159,13 @@ def _agrees(left: str, right: str, enc: Encoder) -> bool:
     """Whether the words beside a seam, encoded together, give what they give apart.
 
     A pre-token, an added token and a canonical composition never reach across white
-    space, so one word on each side decides; a plain ASCII seam needs no encoding.
+    space, so one word on each side decides; a seam of plain characters needs no encoding.
     """
-    a, b = left[-64:], right[:64]
-    if right[:1] in "\t\n\v\f\r " and left.isascii() and b.isascii():
-        return True
-    a, b = _edge(a, True, 1), _edge(b, False, 1)
+    a, b = _edge(left, True), _edge(right, False)
     seam = right[: len(right) - len(right.lstrip())]
-    return bool(seam) and enc.ids(a + seam + b) == enc.ids(a) + enc.ids(b)
+    if seam and _PLAIN.fullmatch(a) and _PLAIN.fullmatch(b) and _PLAIN.fullmatch(seam):
+        return True
+    return bool(seam) and enc.encode(a + seam + b)[0] == enc.encode(a)[0] + enc.encode(b)[0]
 
 
 def _hash(piece: str) -> int:
@@ -158,14 +179,13 @@ def _pack(ids) -> bytes:
 _OUT = "row long, doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string"
 
 
-def _finished(row, doc_id, parts: Iterator[list[int]], enc: Encoder, keep: bool) -> tuple:
+def _finished(row, doc_id, parts: Iterator[tuple[bytes, str]], keep: bool) -> tuple:
     ids_hash, text_hash, n, kept = hashlib.sha256(), hashlib.sha256(), 0, []
-    for ids in parts:
-        if len(ids):
-            blob = _pack(ids)
+    for blob, text in parts:
+        if blob:
             ids_hash.update(blob)
-            text_hash.update(((" " if n else "") + enc.text(ids)).encode())
-            n += len(ids)
+            text_hash.update(((" " if n else "") + text).encode())
+            n += len(blob) // 4
             if keep:
                 kept.append(blob)
     return row, doc_id, n, b"".join(kept) if keep else None, ids_hash.hexdigest(), text_hash.hexdigest()
@@ -191,26 +211,28 @@ def bpe_encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "do
     def first(batches):
         enc, context, made, sent = _encoder(spec.value), TaskContext.get(), 0, set()
         for pdf in batches:
-            for at in range(0, len(pdf), 256):
+            for at in range(0, len(pdf), 512):
                 done, waits, pieces = [], [], []
-                for doc_id, text in zip(pdf.doc_id.iloc[at : at + 256].astype("Int64"), pdf.text.iloc[at : at + 256]):
+                for doc_id, text in zip(pdf.doc_id.iloc[at : at + 512].astype("Int64"), pdf.text.iloc[at : at + 512]):
                     row, made = context.partitionId() << 40 | made, made + 1
                     doc_id = None if doc_id is pd.NA else int(doc_id)
                     own = chunks(text, enc, every) if isinstance(text, str) else []
                     keys = np.array([_hash(c) for c in own], np.int64)
                     hit = _bits.maybe(keys, table.value) if len(keys) else np.zeros(0, bool)
+                    # runs of unshared chunks are one piece of the document
+                    runs = [(h, list(g)) for h, g in groupby(range(len(own)), hit.__getitem__)]
                     if not hit.any():
-                        done.append(_finished(row, doc_id, (enc.ids(c) for c in own), enc, keep_ids))
+                        done.append(_finished(row, doc_id, [enc.encode("".join(own))], keep_ids))
                         continue
-                    # runs of unshared chunks are one piece of the document
-                    for k in range(len(own)):
-                        if hit[k]:
+                    for h, run in runs:
+                        if not h:
+                            waits.append((row, doc_id, run[0], None, enc.to_send("".join(own[run[0] : run[-1] + 1]))))
+                            continue
+                        for k in run:
                             waits.append((row, doc_id, k, int(keys[k]), None))
                             if keys[k] not in sent:
                                 sent.add(keys[k])
                                 pieces.append((int(keys[k]), own[k]))
-                        else:
-                            waits.append((row, doc_id, k, None, _pack(enc.ids(own[k]))))
                 if len(sent) > 100_000:
                     sent.clear()
                 out = [pd.DataFrame(done, columns=["row", "doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]).assign(kind=0)]
@@ -222,7 +244,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "do
     def encode(batches):
         enc = _encoder(spec.value)
         for pdf in batches:
-            yield pd.DataFrame({"h": pdf.h, "shared": [_pack(enc.ids(p)) for p in pdf.piece]})
+            yield pd.DataFrame({"h": pdf.h, "shared": [enc.to_send(p) for p in pdf.piece]})
 
     once = save(sent.where("kind = 2").select("h", "piece").dropDuplicates(["h"]).mapInPandas(encode, "h long, shared binary"))
     waits = sent.where("kind = 1").select("row", "doc_id", "k", "h", "ids")
@@ -233,7 +255,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "do
         enc, now, doc, held = _encoder(spec.value), None, None, []
         cols = ["row", "doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
         fix = lambda rows: pd.DataFrame(rows, columns=cols).astype({"doc_id": "Int64"})
-        end = lambda: _finished(now, doc, (np.frombuffer(b, "<u4").tolist() for b in held), enc, keep_ids)
+        end = lambda: _finished(now, doc, map(enc.received, held), keep_ids)
         for pdf in batches:
             rows = []
             for row, d, ids in zip(pdf.row, pdf.doc_id.astype("Int64"), pdf.ids):
