@@ -37,13 +37,13 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One half round: point neighbours at the least node of the neighbourhood."""
     both = edges if not large else edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     around = both.select("a", "b") if large else edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    least = save(around.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
+    least = save(around.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), small=True)
     joined = around.join(least, "a")
     if large:
         out = joined.where("b > a").select(F.col("m").alias("a"), "b")
     else:
         out = joined.select(F.col("m").alias("a"), "b").unionByName(least.select(F.col("m").alias("a"), F.col("a").alias("b")))
-    done = save(out.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    done = save(out.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), small=True)
     free(least)
     return done
 
@@ -55,7 +55,8 @@ def components(edges: DataFrame) -> DataFrame:
     of minima is written first, so both join sides are plain exchanges that adaptive
     execution can split where one node has very many edges.
     """
-    cur = save(edges.where("a <> b").select("a", "b").mapInPandas(_contract, "a long, b long").distinct())
+    few = edges.where("a <> b").select("a", "b").coalesce(edges.sparkSession.sparkContext.defaultParallelism)
+    cur = save(few.mapInPandas(_contract, "a long, b long").distinct(), small=True)
     mark = None
     while True:
         now = cur.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
@@ -67,4 +68,4 @@ def components(edges: DataFrame) -> DataFrame:
         cur = _stars(big, False)
         free(big)
     nodes = cur.select(F.col("b").alias("node"), F.col("a").alias("component"))
-    return save(nodes.unionByName(cur.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()))
+    return save(nodes.unionByName(cur.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()), small=True)

@@ -13,14 +13,16 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/chronoweave"
 
 
-def save(df: DataFrame) -> DataFrame:
+def save(df: DataFrame, small: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    The written table cuts the lineage, so that losing an executor later costs a
+    ``small`` writes it in two tasks a core of the cluster, for tables of few bytes.  The written table cuts the lineage, so that losing an executor later costs a
     reread and not a recomputation, and several readers share one computation.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cw-{uuid.uuid4().hex}"
+    if small:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cw_path = path

@@ -9,7 +9,8 @@
 3. A second pass orders each set rarest first by the sketch and sends the prefix of
    ``n - ceil(t n) + 1`` shingles, packed in arrays, to the task of the shingle's hash.
    There, pairs sharing a prefix shingle pass the length and positional filters unless
-   step 2 already put both in one component.  Any order that is the same for all
+   both are already in one component: first only neighbours among a shingle's documents,
+   which joins most groups, then all pairs between the components left.  Any order that is the same for all
    documents gives whole results, so the sketch's errors cost time only.
 4. Distinct pairs pass the suffix filter (histograms bound the overlap) and are verified
    once, exactly, on the texts.  Components of all links follow.
@@ -37,9 +38,15 @@ from ._text import lower_bytes, mix, shingles, word_blocks
 SKETCH = 1 << 20
 #: Least shingles by which near copies are chained before the join.
 CHAIN = 6
+#: Orders in which they are chained: by size, then by hash.
+ORDERS = 2
+#: Successors within a shingle's documents, by size, that the join's first turn pairs.
+REACH = 3
 #: Prefix entries in one task's share of the join, and documents of one shingle before it is dealt as pairs of blocks.
 SHARE, HOT = 1 << 20, 20_000
 CLASSES = 16
+#: Shingles of recently compared documents that a task keeps (8 bytes each).
+KNOWN = 4_000_000
 _FACTS = "doc_id long, n long, d1 long, d2 long, least array<long>, hist array<int>"
 
 
@@ -62,9 +69,7 @@ def facts(docs: DataFrame, n: int) -> DataFrame:
             rows = []
             for i, s in _sets(pdf.text, n):
                 if len(s):
-                    sketch += np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32) if len(s) > 20_000 else 0
-                    if len(s) <= 20_000:
-                        np.add.at(sketch, s & np.uint64(SKETCH - 1), np.uint32(1))
+                    np.add.at(sketch, (s & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
                 d1, d2 = (np.uint64(0), np.uint64(0)) if not len(s) else (s.sum(), mix(s ^ np.uint64(0xA5A5A5A5)).sum())
                 hist = np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=CLASSES)
                 rows.append((pdf.doc_id.iat[i], len(s), np.int64(d1.astype(np.int64)), np.int64(d2.astype(np.int64)), s[:CHAIN].view(np.int64), hist.astype(np.int32)))
@@ -79,25 +84,29 @@ def facts(docs: DataFrame, n: int) -> DataFrame:
     return save(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(read, f"{_FACTS}, seg int, blob binary"))
 
 
-def _chained(nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs of documents next to each other in (shared least shingle, size) order.
+def _chained(nodes: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """Candidate pairs of different components, next to each other in an order of a least shingle's documents.
 
-    A range exchange on all columns splits even one shingle's documents over tasks; a
-    pair lost at a border is found by the join.
+    The order is by size in turn 0 and by hash in later ones.  A range exchange on all
+    columns splits even one shingle's documents over tasks; a pair lost at a border is
+    found by the join.
     """
 
     def chain(batches):
         last = None
         for pdf in batches:
             cur = pdf if last is None else pd.concat([last, pdf])
-            h, n, d = (cur[c].to_numpy() for c in ("h", "n", "doc_id"))
-            ok = (h[1:] == h[:-1]) & (num * n[1:] <= den * n[:-1]) & (d[1:] != d[:-1])
+            h, n, d, c = (cur[k].to_numpy() for k in ("h", "n", "doc_id", "comp"))
+            small, large = np.minimum(n[1:], n[:-1]), np.maximum(n[1:], n[:-1])
+            ok = (h[1:] == h[:-1]) & (num * large <= den * small) & (c[1:] != c[:-1])
             a, b = d[:-1][ok], d[1:][ok]
             yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
             last = cur.tail(1)
 
-    rows = nodes.select("doc_id", "n", F.explode("least").alias("h"))
-    dealt = rows.repartitionByRange(parts(nodes.sparkSession), "h", "n", "doc_id").sortWithinPartitions("h", "n", "doc_id")
+    rows = nodes.select("doc_id", "n", "comp", F.explode("least").alias("h"))
+    rows = rows.withColumn("place", F.col("n") if turn == 0 else F.xxhash64("h", "doc_id", F.lit(turn)))
+    keys = ("h", "place", "doc_id")
+    dealt = rows.repartitionByRange(parts(nodes.sparkSession), *keys).sortWithinPartitions(*keys)
     return dealt.mapInPandas(chain, "a long, b long").distinct()
 
 
@@ -114,16 +123,24 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) ->
             yield pd.DataFrame({"doc_id": pdf.doc_id, "t": [z.compress(b) for b in lower_bytes(pdf.text)]})
 
     def compare(batches):
-        z, last, own = zstandard.ZstdDecompressor(), None, None
-        read = lambda blob: next(_sets([z.decompress(blob).decode()], n))[1]
+        z, known, held = zstandard.ZstdDecompressor(), {}, 0
+
+        def read(doc, blob):
+            nonlocal held
+            if doc not in known:
+                if held > KNOWN:
+                    known.clear()
+                    held = 0
+                known[doc] = next(_sets([z.decompress(blob).decode()], n))[1]
+                held += len(known[doc])
+            return known[doc]
+
         for pdf in batches:
             keep = []
-            for b, ta, tb in zip(pdf.b, pdf.ta, pdf.tb):
-                if b != last:
-                    last, own = b, read(tb)
-                other = read(ta)
-                both = len(own) + len(other)
-                shared = both - len(np.unique(np.concatenate([own, other])))
+            for a, b, ta, tb in zip(pdf.a, pdf.b, pdf.ta, pdf.tb):
+                one, other = read(a, ta), read(b, tb)
+                both = len(one) + len(other)
+                shared = both - len(np.unique(np.concatenate([one, other])))
                 keep.append(den * shared >= num * (both - shared))
             yield pdf.loc[keep, ["a", "b"]]
 
@@ -132,13 +149,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) ->
     return save(pairs.join(a, "a").join(b, "b").mapInPandas(compare, "a long, b long"))
 
 
-def _candidates(nodes: DataFrame, docs: DataFrame, sketch: np.ndarray, n: int, num: int, den: int) -> DataFrame:
-    """Pairs from different components that share a prefix shingle and pass length and position."""
-    spark = docs.sparkSession
-    total = nodes.agg(F.sum("n")).first()[0] or 0
-    shares = max(1, int(total * (den - num) / den) // SHARE + 1)
-    base = float(sketch.mean())
-    shared = spark.sparkContext.broadcast(sketch)
+def _prefixes(docs: DataFrame, shared, n: int, num: int, den: int) -> DataFrame:
+    """(doc_id, prefix): each document's rarest shingles, rarest first, as bytes."""
 
     def prefixes(batches):
         count = shared.value
@@ -150,6 +162,19 @@ def _candidates(nodes: DataFrame, docs: DataFrame, sketch: np.ndarray, n: int, n
                     out.append((pdf.doc_id.iat[i], s[np.argsort(c, kind="stable")[: len(s) - _need(len(s), num, den) + 1]].tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "prefix"])
 
+    return save(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInPandas(prefixes, "doc_id long, prefix binary"))
+
+
+def _candidates(nodes: DataFrame, prefix: DataFrame, shared, reach: int | None, num: int, den: int) -> DataFrame:
+    """Pairs from different components that share a prefix shingle and pass length and position.
+
+    ``reach`` bounds how far apart two documents may stand among a shingle's documents.
+    """
+    spark = nodes.sparkSession
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    shares = max(1, int(total * (den - num) / den) // SHARE + 1)
+    base = float(shared.value.mean())
+
     def pack(batches):
         """Arrays of (shingle, document, size, position) for each share."""
         count = shared.value
@@ -187,20 +212,19 @@ def _candidates(nodes: DataFrame, docs: DataFrame, sketch: np.ndarray, n: int, n
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 if row.share != now and held:
-                    yield _pairs(held, num, den)
+                    yield _pairs(held, reach, num, den)
                     held = []
                 now = row.share
                 held.append(row[1:])
         if held:
-            yield _pairs(held, num, den)
+            yield _pairs(held, reach, num, den)
 
-    prefix = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInPandas(prefixes, "doc_id long, prefix binary")
     rows = prefix.join(nodes.select("doc_id", "n", "comp"), "doc_id").mapInPandas(pack, "share long, h binary, doc binary, comp binary, size binary, pos binary")
     dealt = rows.repartition(max(shares, parts(spark)), "share").sortWithinPartitions("share")
     return dealt.mapInPandas(match, "a long, b long").distinct()
 
 
-def _pairs(cells: list[tuple], num: int, den: int) -> pd.DataFrame:
+def _pairs(cells: list[tuple], reach: int | None, num: int, den: int) -> pd.DataFrame:
     h, doc, comp, size, pos = (np.concatenate([np.frombuffer(c[k], t) for c in cells]) for k, t in enumerate((np.uint64, np.int64, np.int64, np.int32, np.int32)))
     order = np.lexsort((doc, size, h))
     h, doc, comp, size, pos = h[order], doc[order], comp[order], size[order].astype(np.int64), pos[order].astype(np.int64)
@@ -210,7 +234,7 @@ def _pairs(cells: list[tuple], num: int, den: int) -> pd.DataFrame:
     keep = np.repeat(mixed, length)
     h, doc, comp, size, pos = h[keep], doc[keep], comp[keep], size[keep], pos[keep]
     found, alive, gap = [np.zeros((0, 2), np.int64)], np.arange(len(h)), 1
-    while len(alive):  # i with its gap-th successor; a group is sorted by size, so a failed length ends i's run
+    while len(alive) and (reach is None or gap <= reach):  # i with its gap-th successor; a group is sorted by size, so a failed length ends i's run
         alive = alive[alive + gap < len(h)]
         j = alive + gap
         go = (h[alive] == h[j]) & (num * size[j] <= den * size[alive])
@@ -225,6 +249,14 @@ def _pairs(cells: list[tuple], num: int, den: int) -> pd.DataFrame:
     return pd.DataFrame({"a": a[:, 0], "b": a[:, 1]})
 
 
+def _suffix(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose histograms leave room for enough shingles in common."""
+    side = lambda k: nodes.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("hist").alias(f"h{k}"))
+    bound = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where((num + den) * bound >= num * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles and component_id (least doc_id linked).
 
@@ -238,17 +270,21 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = save(sets)
     nodes = sets.where("doc_id is not null")
 
-    chained = _verified(save(_chained(nodes, num, den)), docs, n, num, den)
-    near = components(chained).select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
-    nodes = save(nodes.join(near, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")))
-
-    pairs = save(_candidates(nodes, docs, sketch, n, num, den))
-    side = lambda k: nodes.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("hist").alias(f"h{k}"))
-    bound = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    suffix = pairs.join(side("a"), "a").join(side("b"), "b").where((num + den) * bound >= num * (F.col("na") + F.col("nb")))
-    links = _verified(save(suffix.select("a", "b")), docs, n, num, den)
-
-    label = components(chained.unionByName(links)).select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
+    links, nodes = None, save(nodes.withColumn("comp", F.col("doc_id")))
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    prefix = _prefixes(docs, shared, n, num, den)
+    turns = [lambda now, k=k: _chained(now, k, num, den) for k in range(ORDERS)] + [lambda now, r=r: _candidates(now, prefix, shared, r, num, den) for r in (REACH, None)]
+    for k, turn in enumerate(turns):
+        pairs = save(turn(nodes))
+        if k >= ORDERS:
+            pairs = save(_suffix(pairs, nodes, num, den))
+        more = _verified(pairs, docs, n, num, den)
+        links = more if links is None else links.unionByName(more)
+        if k < len(turns) - 1:
+            near = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("near"))
+            nodes = save(nodes.join(near, "doc_id", "left").withColumn("comp", F.coalesce("near", "doc_id")).drop("near"))
+
+    label = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
     known = save(sets.join(label, "doc_id", "left").select("d1", "d2", "n", F.coalesce("comp", "doc_id").alias("comp")))
     out = every.select("doc_id", "n", "d1", "d2").join(known, ["d1", "d2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id")).alias("component_id"))
