@@ -1,12 +1,15 @@
 """License scans of files, with inheritance down directories.
 
-Blocks that hold a licence cue (whole texts are searched: lines, paragraphs, and windows
-of very long lines) are compared with templates by sparse TF-IDF cosine.  Document
-frequencies are counted over all blocks of all files; only those of template words are
-kept, so their number has a bound, and other words take the weight of a word seen once.
-A file's licence is that of its best block.  A file without one takes that of the nearest
-ancestor directory, its own first, that holds a licence file: one named like a licence, or
-of whose words at least a fifth stand in its licence block.
+Blocks that hold a licence cue (lines, sentences and paragraphs), and every window of a
+template's own length in the passages around cues, across line breaks, are compared with
+templates by sparse TF-IDF cosine, so a notice is found wherever it stands.  Document
+frequencies are counted over all blocks and passages of all files; only those of template
+words are kept, so their number has a bound, and other words take the weight of a word seen
+once.  A notice that names its licence must hold the name's words: short windows that
+differ in the name alone come near each other.
+A file's licence is that of its best block or window.  A file without one takes that of the
+nearest ancestor directory, its own first, that holds a licence file: one named like a
+licence, or of whose words at least a fifth stand in a block or window of that licence.
 
 Ancestors are joined by path once per directory, not per file.
 
@@ -22,6 +25,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,10 +54,19 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 #: What a licence block holds, and how licence files are named.
-CUE = re.compile(r"licen[sc]e|permission is hereby granted|redistribution and use|public domain|creative commons")
+CUE = re.compile(r"licen[sc]e|permission\W+is\W+hereby\W+granted|redistribution\W+and\W+use|public\W+domain|creative\W+commons")
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|unlicense)([._-].*)?$"
-_WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
-LINE_WORDS, WINDOW, PARAGRAPH_WORDS = 200, 100, 400
+#: A dot inside a word stands before a digit, so that a word glued to the end of a sentence is its own.
+_WORD = re.compile(r"[a-z0-9]+(?:-[a-z0-9]+|\.[0-9]+)*")
+_BREAK = re.compile(r"(?<=[.!?])\s+|\n\s*\n")
+#: Words of a template's licence that a block or window must hold.
+NAMES = {
+    "AGPL-3.0": ("affero",), "Apache-2.0": ("apache",), "Apache-2.0 header": ("apache",), "BSD-2-Clause": ("bsd",), "BSD-3-Clause": ("bsd",),
+    "CC-BY-4.0": ("cc", "by"), "CC-BY-NC-4.0": ("by-nc",), "CC-BY-SA-4.0": ("by-sa",), "CC0-1.0": ("cc0",), "GPL-2.0": ("general",), "GPL-3.0": ("general",),
+    "ISC": ("isc",), "LGPL-3.0": ("lesser",), "MIT": ("mit",), "MPL-2.0": ("mozilla",),
+}
+#: Longer blocks than any template are not compared as wholes; their windows are.
+BLOCK_WORDS = 400
 THRESHOLD = 0.8
 
 
@@ -66,18 +79,56 @@ def terms(text: str) -> list[str]:
 
 
 def blocks(text: str) -> list[str]:
-    """Lines and paragraphs with a cue; a line of over LINE_WORDS words by overlapping windows."""
+    """Lines, sentences and paragraphs with a cue, each once, up to BLOCK_WORDS words."""
     low = text.lower()
     if not CUE.search(low):
         return []
-    out = []
-    for line in low.split("\n"):
-        if CUE.search(line):
-            w = line.split()
-            out += [line] if len(w) <= LINE_WORDS else [x for i in range(0, len(w), WINDOW // 2) if CUE.search(x := " ".join(w[i : i + WINDOW]))]
-    for paragraph in re.split(r"\n\s*\n", low):
-        if "\n" in paragraph.strip() and CUE.search(paragraph) and len(paragraph.split()) <= PARAGRAPH_WORDS:
-            out.append(paragraph)
+    cut = [*low.split("\n"), *_BREAK.split(low), *re.split(r"\n\s*\n", low)]
+    return list(dict.fromkeys(x for x in cut if CUE.search(x) and len(x.split()) <= BLOCK_WORDS))
+
+
+def passages(text: str) -> list[str]:
+    """The words around cues, as far as a template that holds the cue can reach; those that overlap are one."""
+    low = text.lower()
+    cues = [m.span() for m in CUE.finditer(low)]
+    if not cues:
+        return []
+    spans = [m.span() for m in _WORD.finditer(low)]
+    starts, ends = np.array([a for a, _ in spans]), np.array([b for _, b in spans])
+    reach, out = max(len(terms(t)) for t in TEMPLATES.values()), []
+    for a, b in cues:
+        i, j = max(0, int(np.searchsorted(ends, a, "right")) - reach), int(np.searchsorted(starts, b)) + reach
+        if out and i <= out[-1][1]:
+            out[-1][1] = j
+        else:
+            out.append([i, j])
+    return [" ".join(low[x:y] for x, y in spans[i:j]) for i, j in out]
+
+
+def best_windows(words: list[str], vectors: dict[str, dict[str, float]], idf: dict[str, float], rare: float, threshold: float) -> list[tuple[float, str, int]]:
+    """(score, template, words) of each template's best window of its own length, where that reaches ``threshold``.
+
+    A window's norm is least where no word repeats, which bounds its cosine from above; only
+    windows whose bound reaches the threshold and the best so far are compared exactly.
+    """
+    out, n = [], len(words)
+    there = set(words)
+    each = np.array([idf.get(w, rare) for w in words])
+    norms = np.concatenate([[0.0], np.cumsum(each * each)])
+    for name, t in vectors.items():
+        if not all(w in there for w in NAMES.get(name, ())):
+            continue
+        size = min(n, LENGTHS[name])
+        dots = np.concatenate([[0.0], np.cumsum([t.get(w, 0.0) for w in words] * each)])
+        bound = (dots[size:] - dots[: n - size + 1]) / np.sqrt(np.maximum(norms[size:] - norms[: n - size + 1], 1e-12))
+        likely = np.flatnonzero(bound >= threshold - 1e-6)
+        best = 0.0
+        for i in likely[np.argsort(-bound[likely], kind="stable")]:
+            if best >= bound[i] + 1e-6:
+                break
+            best = max(best, cosine(words[i : i + size], name, t, idf, rare))
+        if best >= threshold:
+            out.append((best, name, size))
     return out
 
 
@@ -93,10 +144,17 @@ def inverse_frequencies(df: dict[str, int], n: int) -> tuple[dict[str, float], f
     return {w: of(df.get(w, 0)) for t in TEMPLATES.values() for w in terms(t)}, of(1)
 
 
-def best_template(words: list[str], vectors: dict[str, dict[str, float]], idf: dict[str, float], rare: float) -> tuple[float, str]:
+def cosine(words: list[str], name: str, template: dict[str, float], idf: dict[str, float], rare: float) -> float:
+    """Zero where a word of the licence's name is missing."""
     v = weights(words, idf, rare)
-    scored = [(round(sum(x * v.get(w, 0.0) for w, x in t.items()), 9), name) for name, t in vectors.items()]
-    return min(scored, key=lambda s: (-s[0], s[1]))
+    return round(sum(x * v.get(w, 0.0) for w, x in template.items()), 9) if all(w in v for w in NAMES.get(name, ())) else 0.0
+
+
+def best_template(words: list[str], vectors: dict[str, dict[str, float]], idf: dict[str, float], rare: float) -> tuple[float, str]:
+    return min(((cosine(words, name, t, idf, rare), name) for name, t in vectors.items()), key=lambda s: (-s[0], s[1]))
+
+
+LENGTHS = {name: len(terms(t)) for name, t in TEMPLATES.items()}
 
 
 def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -107,15 +165,16 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     def extract(batches):
         for pdf in batches:
             found = [blocks(t) if isinstance(t, str) else [] for t in pdf["__lic_text"]]
+            around = [passages(t) if isinstance(t, str) else [] for t in pdf["__lic_text"]]
             out = pdf.drop(columns="__lic_text")
-            yield out.assign(__lic_blocks=found, __lic_words=[len(t.split()) if b else 0 for t, b in zip(pdf["__lic_text"], found)])
+            yield out.assign(__lic_blocks=found, __lic_passages=around, __lic_words=[len(t.split()) if b else 0 for t, b in zip(pdf["__lic_text"], around)])
 
     slim = files.select(*keep, F.col(text_col).alias("__lic_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "__lic_text")
-    rows = save(slim.mapInPandas(extract, f"{fields}, __lic_blocks array<string>, __lic_words int"))
+    rows = save(slim.mapInPandas(extract, f"{fields}, __lic_blocks array<string>, __lic_passages array<string>, __lic_words int"))
 
     vocabulary = sorted({w for t in TEMPLATES.values() for w in terms(t)})
-    each = rows.select(F.explode("__lic_blocks").alias("b"))
+    each = rows.select(F.explode(F.concat("__lic_blocks", "__lic_passages")).alias("b"))
     seen = each.select(F.explode(F.array_distinct(F.regexp_extract_all("b", F.lit(_WORD.pattern), F.lit(0)))).alias("w"))
     counted = seen.where(F.col("w").isin(vocabulary)).groupBy("w").count().collect()  # as many rows as template words
     idf, rare = inverse_frequencies({r.w: r["count"] for r in counted}, each.count())
@@ -124,10 +183,13 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     def judge(batches):
         for pdf in batches:
             best = []
-            for found, n in zip(pdf["__lic_blocks"], pdf["__lic_words"]):
-                top = min(((*best_template(terms(b), vectors, idf, rare), len(b.split())) for b in found), key=lambda s: (-s[0], s[1], s[2]), default=(0.0, None, 0))
-                best.append((license_of(top[1]), top[0], 5 * top[2] >= n) if top[0] >= threshold else (None, None, False))
-            yield pdf.drop(columns=["__lic_blocks", "__lic_words"]).assign(license=[b[0] for b in best], score=[b[1] for b in best], __lic_notice=[b[2] for b in best])
+            for found, around, n in zip(pdf["__lic_blocks"], pdf["__lic_passages"], pdf["__lic_words"]):
+                hits = [(*best_template(terms(b), vectors, idf, rare), len(b.split())) for b in found]
+                hits += [h for p in around for h in best_windows(p.split(), vectors, idf, rare, threshold)]
+                top = min((h for h in hits if h[0] >= threshold), key=lambda s: (-s[0], s[1]), default=None)
+                most = max((h[2] for h in hits if top and h[0] >= threshold and license_of(h[1]) == license_of(top[1])), default=0)
+                best.append((license_of(top[1]), top[0], 5 * most >= n) if top else (None, None, False))
+            yield pdf.drop(columns=["__lic_blocks", "__lic_passages", "__lic_words"]).assign(license=[b[0] for b in best], score=[b[1] for b in best], __lic_notice=[b[2] for b in best])
 
     own = save(rows.mapInPandas(judge, f"{fields}, license string, score double, __lic_notice boolean"))
     own = own.withColumn("__lic_dir", F.regexp_extract(path_col, r"(?s)^(.*)/[^/]*$", 1)).withColumn("__lic_dir", F.when(F.col(path_col).isNull(), F.lit(None)).otherwise(F.col("__lic_dir")))

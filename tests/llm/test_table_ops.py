@@ -142,6 +142,38 @@ def test_license_scan(spark):
     assert lic.license_scan(df.limit(0)).count() == 0
 
 
+def test_notices_inside_prose_are_found(spark):
+    words = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore".split()
+    prose = lambda n: " ".join(words[i * 7 % 15] for i in range(n))
+    notices = {n: t for n, t in lic.TEMPLATES.items()}
+    files, want = [], {}
+    for name, t in notices.items():
+        half = t.split()
+        for text in (f"{prose(20)} {t} {prose(90)}", f"{prose(700)} {t} {prose(700)}", prose(5) + " " + " ".join(half[:3]) + "\n# " + " ".join(half[3:]) + " " + prose(30), f"{prose(99)} {t}{prose(99)}"):
+            want[len(files)] = lic.license_of(name)
+            files.append((f"f{len(files)}/x.txt", text, len(files)))
+    for text in (prose(900) + " license " + prose(900), f"{prose(50)} Released under the Foo License. {prose(50)}", "license " * 500):
+        want[len(files)] = None
+        files.append((f"f{len(files)}/x.txt", text, len(files)))
+    df = spark.createDataFrame(files, "path string, text string, license_id int").repartition(3)
+    assert {r.license_id: r.license for r in lic.license_scan(df).collect()} == want
+
+
+def test_best_windows_are_those_of_brute_force():
+    rng = random.Random(3)
+    idf, rare = lic.inverse_frequencies({"license": 50, "the": 40, "under": 20}, 60)
+    vectors = {n: lic.weights(lic.terms(t), idf, rare) for n, t in lic.TEMPLATES.items()}
+    pool = [w for t in lic.TEMPLATES.values() for w in lic.terms(t)]
+    for _ in range(20):
+        words = [rng.choice(pool) for _ in range(rng.randint(1, 60))] + lic.terms(rng.choice(list(lic.TEMPLATES.values()))) + ["the"] * rng.randint(0, 9)
+        want = {}
+        for name, t in vectors.items():
+            size = min(len(words), len(lic.terms(lic.TEMPLATES[name])))
+            score = max(lic.cosine(words[i : i + size], name, t, idf, rare) for i in range(len(words) - size + 1))
+            want |= {name: score} if score >= 0.5 else {}
+        assert {n: s for s, n, _ in lic.best_windows(words, vectors, idf, rare, 0.5)} == pytest.approx(want)
+
+
 def test_license_scores_are_cosines():
     idf, rare = lic.inverse_frequencies({"license": 5}, 9)
     vectors = {n: lic.weights(lic.terms(t), idf, rare) for n, t in lic.TEMPLATES.items()}
