@@ -32,7 +32,11 @@ from pyspark.sql import functions as F
 
 from ._store import join_small, save
 
-#: Notices as they stand in headers and licence files.
+_COPIES = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+_HEADER = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+_CC = "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons {} 4.0 International Public License"
+
+#: Notices, the passages of standard headers, and those that licence files begin with or hold.
 TEMPLATES = {
     "AGPL-3.0": "This program is licensed under the GNU Affero General Public License, version 3.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -52,9 +56,31 @@ TEMPLATES = {
     "MIT header": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
     "MPL-2.0": "Licensed under the Mozilla Public License, version 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "AGPL-3.0 header": _HEADER.format("program", "Affero General Public License", "3"),
+    "AGPL-3.0 text": f"GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> {_COPIES}",
+    "Apache-2.0 text": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "CC-BY-4.0 header": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-4.0 text": _CC.format("Attribution"),
+    "CC-BY-NC-4.0 header": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-NC-4.0 text": _CC.format("Attribution-NonCommercial"),
+    "CC-BY-SA-4.0 header": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-SA-4.0 text": _CC.format("Attribution-ShareAlike"),
+    "CC0-1.0 text": "CC0 1.0 Universal CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES. DISTRIBUTION OF THIS DOCUMENT DOES NOT CREATE AN ATTORNEY-CLIENT RELATIONSHIP.",
+    "GPL-2.0 header": _HEADER.format("program", "General Public License", "2"),
+    "GPL-2.0 text": f"GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA {_COPIES}",
+    "GPL-3.0 header": _HEADER.format("program", "General Public License", "3"),
+    "GPL-3.0 text": f"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> {_COPIES}",
+    "ISC text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "LGPL-2.1 header": _HEADER.format("library", "Lesser General Public License", "2.1"),
+    "LGPL-2.1 text": f"GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA {_COPIES}",
+    "LGPL-3.0 header": _HEADER.format("library", "Lesser General Public License", "3"),
+    "LGPL-3.0 text": f"GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> {_COPIES}",
+    "MIT text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "MPL-2.0 header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "MPL-2.0 text": "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.",
 }
 #: What a licence block holds, and how licence files are named.
-CUE = re.compile(r"licen[sc]e|permission\W+is\W+hereby\W+granted|redistribution\W+and\W+use|public\W+domain|creative\W+commons")
+CUE = re.compile(r"licen[sc]e|permission\W+is\W+hereby\W+granted|permission\W+to\W+use|redistribution\W+and\W+use|public\W+domain|creative\W+commons")
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|unlicense)([._-].*)?$"
 #: A dot inside a word stands before a digit, so that a word glued to the end of a sentence is its own.
 _WORD = re.compile(r"[a-z0-9]+(?:-[a-z0-9]+|\.[0-9]+)*")
@@ -63,15 +89,21 @@ _BREAK = re.compile(r"(?<=[.!?])\s+|\n\s*\n")
 NAMES = {
     "AGPL-3.0": ("affero",), "Apache-2.0": ("apache",), "Apache-2.0 header": ("apache",), "BSD-2-Clause": ("bsd",), "BSD-3-Clause": ("bsd",),
     "CC-BY-4.0": ("cc", "by"), "CC-BY-NC-4.0": ("by-nc",), "CC-BY-SA-4.0": ("by-sa",), "CC0-1.0": ("cc0",), "GPL-2.0": ("general",), "GPL-3.0": ("general",),
-    "ISC": ("isc",), "LGPL-3.0": ("lesser",), "MIT": ("mit",), "MPL-2.0": ("mozilla",),
+    "ISC": ("isc",), "LGPL-3.0": ("lesser",), "MIT": ("mit",), "MPL-2.0": ("mozilla",), "MPL-2.0 header": ("mozilla",), "MPL-2.0 text": ("mozilla",), "Apache-2.0 text": ("apache",), "CC0-1.0 text": ("cc0",),
+    "AGPL-3.0 header": ("affero",), "AGPL-3.0 text": ("affero",), "GPL-2.0 header": ("general",), "GPL-2.0 text": ("general",), "GPL-3.0 header": ("general",), "GPL-3.0 text": ("general",),
+    "LGPL-2.1 header": ("lesser",), "LGPL-2.1 text": ("lesser",), "LGPL-3.0 header": ("lesser",), "LGPL-3.0 text": ("lesser",),
+    "CC-BY-4.0 header": ("attribution",), "CC-BY-4.0 text": ("attribution",), "CC-BY-NC-4.0 header": ("attribution-noncommercial",), "CC-BY-NC-4.0 text": ("attribution-noncommercial",),
+    "CC-BY-SA-4.0 header": ("attribution-sharealike",), "CC-BY-SA-4.0 text": ("attribution-sharealike",),
 }
+#: Words of another licence's name, which a block or window must not hold.
+OTHERS = {name: ("lesser", "affero") for name in TEMPLATES if name.startswith("GPL")}
 #: Longer blocks than any template are not compared as wholes; their windows are.
 BLOCK_WORDS = 400
 THRESHOLD = 0.8
 
 
 def license_of(template: str) -> str:
-    return {"Apache-2.0 header": "Apache-2.0", "BSD header": "BSD-3-Clause", "MIT header": "MIT"}.get(template, template)
+    return "BSD-3-Clause" if template == "BSD header" else template.removesuffix(" header").removesuffix(" text")
 
 
 def terms(text: str) -> list[str]:
@@ -95,7 +127,7 @@ def passages(text: str) -> list[str]:
         return []
     spans = [m.span() for m in _WORD.finditer(low)]
     starts, ends = np.array([a for a, _ in spans]), np.array([b for _, b in spans])
-    reach, out = max(len(terms(t)) for t in TEMPLATES.values()), []
+    reach, out = max(LENGTHS.values()), []
     for a, b in cues:
         i, j = max(0, int(np.searchsorted(ends, a, "right")) - reach), int(np.searchsorted(starts, b)) + reach
         if out and i <= out[-1][1]:
@@ -145,13 +177,17 @@ def inverse_frequencies(df: dict[str, int], n: int) -> tuple[dict[str, float], f
 
 
 def cosine(words: list[str], name: str, template: dict[str, float], idf: dict[str, float], rare: float) -> float:
-    """Zero where a word of the licence's name is missing."""
-    v = weights(words, idf, rare)
-    return round(sum(x * v.get(w, 0.0) for w, x in template.items()), 9) if all(w in v for w in NAMES.get(name, ())) else 0.0
+    """Zero where a word of the licence's name is missing, or one of another's is there."""
+    return _cosine(weights(words, idf, rare), name, template)
+
+
+def _cosine(v: dict[str, float], name: str, template: dict[str, float]) -> float:
+    return round(sum(x * v.get(w, 0.0) for w, x in template.items()), 9) if all(w in v for w in NAMES.get(name, ())) and not any(w in v for w in OTHERS.get(name, ())) else 0.0
 
 
 def best_template(words: list[str], vectors: dict[str, dict[str, float]], idf: dict[str, float], rare: float) -> tuple[float, str]:
-    return min(((cosine(words, name, t, idf, rare), name) for name, t in vectors.items()), key=lambda s: (-s[0], s[1]))
+    v = weights(words, idf, rare)
+    return min(((_cosine(v, name, t), name) for name, t in vectors.items()), key=lambda s: (-s[0], s[1]))
 
 
 LENGTHS = {name: len(terms(t)) for name, t in TEMPLATES.items()}

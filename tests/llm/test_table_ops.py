@@ -159,6 +159,51 @@ def test_notices_inside_prose_are_found(spark):
     assert {r.license_id: r.license for r in lic.license_scan(df).collect()} == want
 
 
+GPL_HEADER = """
+/* This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. */
+"""
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+ISC_FILE = """Copyright 2020 Someone
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+
+
+def test_headers_and_licence_files(spark):
+    gpl2 = GPL_HEADER.replace("version 3", "version 2")
+    agpl, lgpl = (GPL_HEADER.replace("General", f"{w} General") for w in ("Affero", "Lesser"))
+    title = "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n" + "word " * 5000
+    mpl = "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed with this\n# file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    cc = "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."
+    texts = {GPL_HEADER: "GPL-3.0", gpl2: "GPL-2.0", agpl: "AGPL-3.0", lgpl: "LGPL-3.0", title: "GPL-3.0", MIT_FILE: "MIT", ISC_FILE: "ISC", mpl: "MPL-2.0", cc: "CC-BY-SA-4.0", cc.replace("ShareAlike", "NoDerivatives"): None}
+    files = [(f"d{i}/COPYING", t, i) for i, t in enumerate(texts)] + [(f"d{i}/sub/x.txt", "plain words", 100 + i) for i in range(len(texts))] + [(f"mit{i}/LICENSE", MIT_FILE, 1000 + i) for i in range(50)]
+    got = {r.license_id: r.license for r in lic.license_scan(spark.createDataFrame(files, "path string, text string, license_id int").repartition(3)).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values()) == [got[100 + i] for i in range(len(texts))]
+    assert all(got[1000 + i] == "MIT" for i in range(50))
+
+
 def test_best_windows_are_those_of_brute_force():
     rng = random.Random(3)
     idf, rare = lic.inverse_frequencies({"license": 50, "the": 40, "under": 20}, 60)
