@@ -1,10 +1,14 @@
 """Secret scans: fixed patterns, and character Markov models for random strings.
 
 Two first-order Markov chains over ASCII characters are trained here from labelled strings:
-random keys and ordinary identifiers.  A candidate run is a secret where the
-log-likelihood ratio per character exceeds a threshold set on a held-out part of the
-labelled strings.  Candidates are runs of 20 or more of ``[A-Za-z0-9_+/=-]`` that hold a
-letter and a digit and overlap no pattern match.
+random keys and ordinary identifiers.  Runs of ``[A-Za-z0-9_+/=-]``, without the characters of
+pattern matches, are cut at separators.  A segment is a secret where the log-likelihood
+ratio of its best window exceeds a threshold: MIXED_LEAST for neighbouring pieces that hold
+mixed case or letters with digits, and for a piece of letters of one case, which invented
+words come near, one that falls with its length (:func:`word_least`).  So is a whole run of
+20 or more with a letter and a digit whose ratio per character exceeds a threshold set on a
+held-out part of the labelled strings.  Segments of fewer than LEAST characters are not
+scored: words of the documents reach the ratios of keys there.
 
 Defined results: a null text is empty; offsets count code points, end exclusive; spans of
 a kind are leftmost and do not overlap; very long texts are scanned whole.
@@ -27,7 +31,11 @@ KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
-_RUN = re.compile(r"[A-Za-z0-9_+/=-]{20,}")
+#: Characters of the shortest segment, and least ratio of the best window of mixed ones.
+LEAST, MIXED_LEAST, DRIFT = 16, 10.0, 0.36
+_RUN = re.compile(r"[A-Za-z0-9_+/=-]{%d,}" % LEAST)
+_PIECE = re.compile(r"[A-Za-z0-9]+")
+_ONE_KIND = re.compile(r"[A-Z]?[a-z]*|[A-Z]*|[0-9]*")
 #: Words before an assignment, as an ASCII-lowered text holds them.
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _HEX_ONLY = bytes(0x78 if chr(c) in "0123456789abcdef" else 0x20 for c in range(256))
@@ -133,16 +141,51 @@ def base_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, str]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def word_least(n: int) -> float:
+    """Least ratio of the best window in ``n`` letters of one case: no word of the documents of sf0.1 reaches it."""
+    return max(12.0, 34.0 - 2.0 * (n - LEAST))
+
+
+def _peak(ratio: np.ndarray, s: str) -> float:
+    """The greatest sum of the ratio, less DRIFT a character, over windows of ``s``."""
+    upto = np.concatenate([[0.0], np.cumsum(ratio[_grams(s)].astype(np.float64) - DRIFT)])
+    return float((upto - np.minimum.accumulate(upto)).max())
+
+
+def random_spans(s: str, ratio: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """(start, end) of the random segments of a run."""
+    if len(s) >= 20 and re.search("[0-9]", s) and re.search("[A-Za-z]", s) and _score(ratio, s) > threshold:
+        return [(0, len(s))]
+    groups, out = [], []  # of mixed pieces, with pieces under five characters among or beside them
+    for m in _PIECE.finditer(s):
+        (a, b), word = m.span(), bool(_ONE_KIND.fullmatch(m[0]))
+        if word and b - a >= 5:
+            groups.append([a, b, "word"])
+        elif groups and groups[-1][2] != "word":
+            groups[-1][1], groups[-1][2] = b, "mixed" if not word else groups[-1][2]
+        else:
+            groups.append([a, b, "short" if word else "mixed"])
+    for a, b, kind in groups:
+        least = {"mixed": MIXED_LEAST, "word": word_least(b - a) if s[a].isalpha() else math.inf, "short": math.inf}[kind]
+        if b - a >= LEAST and _peak(ratio, s[a:b]) > least:
+            out.append((a, b + len(re.match("={0,2}", s[b:])[0])))
+    return out
+
+
 def all_spans(text: str, ratio: np.ndarray, threshold: float) -> tuple[list, list]:
-    """The pattern spans, and these with the random runs that the models add."""
+    """The pattern spans, and these with the random segments that the models add."""
     raw = text.encode()
     base = base_spans(text, raw)
     more = []
-    if _has_run(raw, _RUN_ONLY, 20):
+    if _has_run(raw, _RUN_ONLY, LEAST):
         for m in _RUN.finditer(text):
-            s = m[0]
-            if re.search("[0-9]", s) and re.search("[A-Za-z]", s) and not any(a < m.end() and m.start() < b for a, b, _ in base) and _score(ratio, s) > threshold:
-                more.append((*m.span(), "random"))
+            at, parts = m.start(), []
+            for a, b, _ in base:
+                if b > at and a < m.end():
+                    parts += [(at, a)] if a > at else []
+                    at = b
+            parts.append((at, m.end()))
+            more += [(x + a, x + b, "random") for x, y in parts if y - x >= LEAST for a, b in random_spans(text[x:y], ratio, threshold)]
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
