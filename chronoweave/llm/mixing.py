@@ -10,7 +10,8 @@ large the source is.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in
 order; documents of size 0 take 0; repeated rows are separate documents with equal fate
-in the hash order, told apart by nothing but their rows.
+in the hash order, told apart by nothing but their rows; mixed rows are told apart by a row key that is made
+and written first, so null and repeated ids lose or multiply no row.
 """
 
 from __future__ import annotations
@@ -45,14 +46,17 @@ def water_fill(sources: DataFrame, share: float, epochs: int) -> DataFrame:
     return rows.withColumn("target", target.cast("double")).select(*sources.columns, "target")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, epochs: int = 2, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (size times repetitions).
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, epochs: int = 2, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken (size times repetitions), repeats, and ``row_col`` if given.
 
     Sources in order take ``weights`` in turn; targets share ``share`` of all sizes.
     """
-    size = save(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_of(text_col).alias("size")))
+    key = [] if row_col is None else [row_col]
+    size = save(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_of(text_col).alias("size"), *key))
     # a bucket of a fixed seeded order; equal rows get the same place
-    size = size.withColumn("place", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.pmod("place", F.lit(BUCKETS)).cast("int"))
+    # rows without an id take places by their row key, so that they spread over the buckets
+    place = F.xxhash64(F.lit(seed), "doc_id") if row_col is None else F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), row_col)).otherwise(F.xxhash64(F.lit(seed), "doc_id"))
+    size = size.withColumn("place", place).withColumn("bucket", F.pmod("place", F.lit(BUCKETS)).cast("int"))
     sums = save(size.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
     sources = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
     sources = sources.withColumn("rank", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
@@ -72,18 +76,20 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
 
     rows = join_small(size.withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), known, ["source_key"])
     on_edge = rows.where("bucket = edge")
-    within = W.partitionBy("source_key").orderBy("place", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy("source_key").orderBy("place", "doc_id", "size", *key).rowsBetween(W.unboundedPreceding, 0)
     on_edge = on_edge.withColumn("upto", F.col("before") + F.sum("size").over(within))
     # the document at the border is taken where most of it lies before the border
     on_edge = on_edge.withColumn("extra", (F.col("upto") - F.col("size") / 2 <= F.col("part")).cast("long")).drop("upto")
     rest = rows.where("bucket <> edge").withColumn("extra", (F.col("bucket") < F.col("edge")).cast("long"))
     out = rest.unionByName(on_edge)
     times = F.least(F.col("turns") + F.col("extra"), F.lit(epochs))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("repeats"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("repeats"), *key)
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it (not at all where that is 0); needs unique ids."""
-    times = save(mix_sources(docs, id_col=id_col, **options).where("repeats > 0").select(F.col("doc_id").alias("__mix_id"), "repeats").distinct())
-    rows = docs.join(times, F.col(id_col) == F.col("__mix_id"))
-    return rows.withColumn("__mix_turn", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*docs.columns)
+    """The rows of ``docs``, each as often as the mix takes it (not at all where that is 0)."""
+    keyed = save(docs.withColumn("__mix_row", F.monotonically_increasing_id()))  # written, so that every reading finds the same keys
+    times = mix_sources(keyed, id_col=id_col, row_col="__mix_row", **options).where("repeats > 0")
+    times = save(times.select("__mix_row", F.col("repeats").alias("__mix_repeats")))
+    rows = keyed.join(times, "__mix_row")
+    return rows.withColumn("__mix_turn", F.explode(F.sequence(F.lit(1), F.col("__mix_repeats").cast("int")))).select(*docs.columns)

@@ -24,10 +24,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the least doc_id; documents without words all stay."""
-    found = save(ngram_jaccard_join(docs))
-    stays = found.where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_stay_id")).distinct()
-    return docs.join(stays, docs.doc_id.eqNullSafe(F.col("_stay_id")), "left_semi")
+    """Of each group of linked rows, one with the least doc_id (null last); documents without words all stay."""
+    keyed = save(docs.withColumn("_row", F.monotonically_increasing_id()))  # rows by a written key, as ids may be null or repeat
+    found = ngram_jaccard_join(keyed, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    ranked = found.join(keyed.select("_row", F.col("doc_id").isNull().alias("none"), "doc_id"), "_row")
+    stays = save(ranked.groupBy("component_id").agg(F.min(F.struct("none", "doc_id", "_row")).alias("least")).select("least._row"))
+    return keyed.join(stays, "_row", "left_semi").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

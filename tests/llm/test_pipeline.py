@@ -60,6 +60,34 @@ def test_pipeline(spark, tmp_path):
         assert r.ids == tok.encode(clean[r.doc_id], add_special_tokens=False).ids and r.n_tokens == len(r.ids)
 
 
+def test_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    text = lambda k: " ".join(f"{k}{rng.randint(0, 999)}" for _ in range(60))
+    a, b, c, d, e = (text(k) for k in "abcde")
+    rows = [(5, a), (5, a), (None, a), (3, b + " end"), (None, b), (None, c), (None, d), (None, d), (7, c.upper() + " x"), (5, e), (8, None), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    want = [(5, a), (3, b + " end"), (7, c.upper() + " x"), (None, d), (5, e), (8, None), (8, None)]
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_mixing_keeps_rows_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rows = [(None if i % 3 else i // 2, f"w{i} " * (1 + i % 7), "en", ["a", "b"][i % 2], 9) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.mixing(spark, docs, "").collect()
+    times = {}
+    for r in got:
+        times[r.text] = times.get(r.text, 0) + 1
+    assert max(times.values()) <= 2 and {r.doc_id for r in got} >= {None}
+    total = sum(len(t.split()) for _, t, *_ in rows)
+    taken = sum(len(r.text.split()) for r in got)
+    assert abs(taken - 1.5 * total) <= 2 * 7
+
+
 def test_stages_keep_the_columns(spark):
     import corpus_pipeline
 
