@@ -17,8 +17,13 @@ def _joined(c: Column, order: Column) -> Column:
 
 
 def _int_product(c: Column) -> Column:
-    """Integral product; it overflows after at most 63 factors above 1, which bounds what a group can hold of them."""
-    return F.aggregate(F.collect_list(F.when(c != 1, c)), F.lit(1).cast("long"), lambda a, b: a * b)
+    """Integral product: zeros and signs are counted, and only factors beyond one are gathered.
+
+    More than 63 of those overflow, which is an error; a group of valid result holds no more.
+    """
+    size = F.aggregate(F.collect_list(F.when(F.abs(c) > 1, F.abs(c))), F.lit(1).cast("long"), lambda a, b: a * b)
+    sign = F.when(F.count_if(c < 0) % 2 == 1, F.lit(-1)).otherwise(F.lit(1)).cast("long")
+    return F.when(F.count_if(c == 0) > 0, F.lit(0).cast("long")).otherwise(size * sign)
 
 
 for _t in NUMERIC:

@@ -85,6 +85,11 @@ def functions() -> list[str]:
     return sorted(_TABLE)
 
 
+def nanos(value: object) -> object:
+    """A Python duration in nanoseconds, the form in which a Timedelta is kept."""
+    return value // dt.timedelta(microseconds=1) * 1000 if isinstance(value, dt.timedelta) else value
+
+
 def literal(value: object, t: Type | None = None) -> Expr:
     """A Python value as a typed scalar."""
     if isinstance(value, Expr):
@@ -112,7 +117,7 @@ def literal(value: object, t: Type | None = None) -> Expr:
     def build() -> Column:
         if value is None:
             return F.lit(NAN if t is FLOAT else None).cast(t.spark)
-        return F.lit(value).cast(t.spark)
+        return F.lit(nanos(value) if t is TIMEDELTA else value).cast(t.spark)
 
     return Expr(t, build, value=value)
 

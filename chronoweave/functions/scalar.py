@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..types import BOOL, CHAR, DATE, FLOAT, INT, STRING, TIME, TIMEDELTA, TIMESTAMP, TYPES
 from .expr import overload
 from .nil import NAN, compared
-from .temporal import DAY_US, date_text, from_micros, micros, parse_date, parse_time, parse_timedelta, parse_timestamp, time_text, timedelta_text, timestamp_text
+from .temporal import DAY_US, date_text, exact_us, from_micros, micros, parse_date, parse_time, parse_timedelta, parse_timestamp, time_text, timedelta_text, timestamp_text
 
 
 def _real(c: Column, t) -> Column:
@@ -117,24 +117,24 @@ overload("Int64", (INT,), INT, lambda c: c)
 overload("Int64", (FLOAT,), INT, lambda c: F.when(~F.isnan(c), c.try_cast("long")))
 overload("Int64", (BOOL,), INT, lambda c: c.cast("long"))
 overload("Int64", (CHAR,), INT, lambda c: F.ascii(c).cast("long"))
-for _t in (TIMESTAMP, TIMEDELTA, TIME, DATE):
+for _t in (TIMESTAMP, TIME, DATE):
     overload("Int64", (_t,), INT, lambda c, t=_t: micros(c, t) * 1000)
-    if _t is not TIMEDELTA:
-        overload("Timestamp", (_t,), TIMESTAMP, lambda c, t=_t: from_micros(micros(c, t), TIMESTAMP))
+    overload("Timestamp", (_t,), TIMESTAMP, lambda c, t=_t: from_micros(micros(c, t), TIMESTAMP))
+overload("Int64", (TIMEDELTA,), INT, lambda c: c)
 overload("Float64", (FLOAT,), FLOAT, lambda c: c)
 overload("Float64", (INT,), FLOAT, lambda c: _real(c, INT))
 overload("Float64", (STRING,), FLOAT, float_of)
 overload("Char", (CHAR,), CHAR, lambda c: c)
 overload("Char", (INT,), CHAR, lambda c: F.char(c))
 overload("Bool", (BOOL,), BOOL, lambda c: c)
-overload("Timestamp", (INT,), TIMESTAMP, lambda c: from_micros(_whole(c, F.lit(1000)), TIMESTAMP))
+overload("Timestamp", (INT,), TIMESTAMP, lambda c: from_micros(exact_us(c), TIMESTAMP))
 overload("Timestamp", (STRING,), TIMESTAMP, parse_timestamp)
 overload("Timedelta", (TIMEDELTA,), TIMEDELTA, lambda c: c)
-overload("Timedelta", (INT,), TIMEDELTA, lambda c: from_micros(_whole(c, F.lit(1000)), TIMEDELTA))
+overload("Timedelta", (INT,), TIMEDELTA, lambda c: c)
 overload("Timedelta", (STRING,), TIMEDELTA, parse_timedelta)
 overload("Time", (TIMESTAMP,), TIME, lambda c: micros(c, TIMESTAMP) % DAY_US)
 overload("Time", (TIME,), TIME, lambda c: c)
-overload("Time", (INT,), TIME, lambda c: _whole(c, F.lit(1000)))
+overload("Time", (INT,), TIME, exact_us)
 overload("Time", (STRING,), TIME, parse_time)
 overload("Date", (TIMESTAMP,), DATE, lambda c: from_micros(micros(c, TIMESTAMP), DATE))
 overload("Date", (DATE,), DATE, lambda c: c)

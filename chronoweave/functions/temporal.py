@@ -1,7 +1,9 @@
-"""Timestamps, dates, times of day and durations, in microseconds.
+"""Timestamps, dates, times of day in microseconds; durations in nanoseconds.
 
-Arithmetic goes through microsecond counts, so that quotients truncate toward zero on
-both sides of 1970.  A Date moved by less than a day raises; it has no time part here.
+Arithmetic goes through counts, so that quotients truncate toward zero on both sides of
+1970.  A moment has no part of a microsecond: a result that would need one raises, as does
+a Date moved by less than a day.  Products and quotients with a duration are those of the
+raw nanoseconds, and keep the temporal type.
 """
 
 from __future__ import annotations
@@ -13,8 +15,8 @@ from ..types import DATE, INT, TEMPORAL, TIME, TIMEDELTA, TIMELIKE, TIMESTAMP, T
 from .expr import overload
 
 DAY_US = 86_400_000_000
-#: Microseconds of a duration suffix; nanoseconds are checked apart.
-UNITS = {"us": 1, "ms": 1000, "s": 1_000_000, "m": 60_000_000, "h": 3_600_000_000, "d": DAY_US}
+#: Nanoseconds of a duration suffix.
+UNITS = {"ns": 1, "us": 1000, "ms": 1_000_000, "s": 1_000_000_000, "m": 60_000_000_000, "h": 3_600_000_000_000, "d": 86_400_000_000_000}
 _EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
@@ -22,67 +24,58 @@ def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
+def exact_us(ns: Column) -> Column:
+    """Microseconds of nanoseconds that are whole ones."""
+    return F.when(ns % 1000 != 0, F.raise_error(F.lit("a moment has no part of a microsecond")).cast("long")).otherwise(_div(ns, F.lit(1000)))
+
+
 def micros(c: Column, t: Type) -> Column:
-    """Microseconds since the epoch, of the day, or of the duration."""
+    """Microseconds since the epoch or of the day."""
     if t is TIME:
         return c
-    if t is DATE:
-        return F.unix_date(c).cast("long") * DAY_US
-    if t is TIMESTAMP:
-        return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), c)
-    part = lambda unit: F.date_part(F.lit(unit), c)
-    return part("DAY").cast("long") * DAY_US + part("HOUR").cast("long") * UNITS["h"] + part("MINUTE").cast("long") * UNITS["m"] + (part("SECOND") * 1_000_000).cast("long")
+    return F.unix_date(c).cast("long") * DAY_US if t is DATE else F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), c)
 
 
 def from_micros(us: Column, t: Type) -> Column:
-    """The value of a type for so many microseconds."""
+    """The moment of a type for so many microseconds."""
     if t is TIME:
         return us
     if t is DATE:
         return F.date_from_unix_date(_div(us, F.lit(DAY_US)).cast("int"))
-    gap = F.make_dt_interval(_div(us, F.lit(DAY_US)).cast("int"), F.lit(0), F.lit(0), ((us % DAY_US).cast("decimal(18,0)") / 1_000_000).cast("decimal(18,6)"))
-    return gap if t is TIMEDELTA else F.expr(_EPOCH) + gap
+    return F.expr(_EPOCH) + F.make_dt_interval(_div(us, F.lit(DAY_US)).cast("int"), F.lit(0), F.lit(0), ((us % DAY_US).cast("decimal(18,0)") / 1_000_000).cast("decimal(18,6)"))
 
 
 def _date_only(us: Column, t: Type) -> Column:
     if t is DATE:
-        return F.when(us % DAY_US == 0, us).otherwise(F.raise_error(F.lit("a Date moved by part of a day has no value; use a Timestamp")).cast("long"))
+        return F.when(us % DAY_US != 0, F.raise_error(F.lit("a Date moved by part of a day has no value; use a Timestamp")).cast("long")).otherwise(us)
     return us
 
 
 def _moved(sign: int, t: Type, first: bool = True):
     def build(a: Column, b: Column) -> Column:
         x, d = (a, b) if first else (b, a)
-        return from_micros(_date_only(micros(x, t) + micros(d, TIMEDELTA) * sign, t), t)
+        return from_micros(_date_only(micros(x, t) + exact_us(d) * sign, t), t)
 
     return build
 
 
 for _t in TIMELIKE:
-    overload("-", (_t, _t), TIMEDELTA, lambda a, b, t=_t: from_micros(micros(a, t) - micros(b, t), TIMEDELTA))
+    overload("-", (_t, _t), TIMEDELTA, lambda a, b, t=_t: (micros(a, t) - micros(b, t)) * 1000)
     overload("+", (TIMEDELTA, _t), _t, _moved(1, _t, False))
-for _t in TEMPORAL:
     overload("+", (_t, TIMEDELTA), _t, _moved(1, _t))
     overload("-", (_t, TIMEDELTA), _t, _moved(-1, _t))
-    overload("bar", (_t, TIMEDELTA), _t, lambda a, b, t=_t: from_micros(_date_only(_div(micros(a, t), micros(b, TIMEDELTA)) * micros(b, TIMEDELTA), t), t))
-    # raw products and quotients of nanoseconds; the result keeps the temporal type
-    overload("*", (_t, TIMEDELTA), _t, lambda a, b, t=_t: from_micros(micros(a, t) * micros(b, TIMEDELTA) * 1000, t))
-    overload("/", (_t, TIMEDELTA), _t, lambda a, b, t=_t: from_micros(_div(_div(micros(a, t), micros(b, TIMEDELTA)), F.lit(1000)), t))
-    if _t is not TIMEDELTA:
-        overload("*", (TIMEDELTA, _t), _t, lambda a, b, t=_t: from_micros(micros(a, TIMEDELTA) * micros(b, t) * 1000, t))
+    overload("bar", (_t, TIMEDELTA), _t, lambda a, b, t=_t: from_micros(_date_only(_div(micros(a, t), exact_us(b)) * exact_us(b), t), t))
+    overload("*", (_t, TIMEDELTA), _t, lambda a, b, t=_t: from_micros(micros(a, t) * b, t))
+    overload("*", (TIMEDELTA, _t), _t, lambda a, b, t=_t: from_micros(micros(b, t) * a, t))
+    overload("/", (_t, TIMEDELTA), _t, lambda a, b, t=_t: from_micros(exact_us(_div(micros(a, t) * 1000, b)), t))
+for _op, _f in (("+", lambda a, b: a + b), ("-", lambda a, b: a - b), ("*", lambda a, b: a * b), ("/", _div), ("bar", lambda a, b: _div(a, b) * b)):
+    overload(_op, (TIMEDELTA, TIMEDELTA), TIMEDELTA, _f)
 overload("+", (DATE, TIME), TIMESTAMP, lambda a, b: from_micros(micros(a, DATE) + b, TIMESTAMP))
-overload("-", (TIMEDELTA,), TIMEDELTA, lambda a: from_micros(-micros(a, TIMEDELTA), TIMEDELTA))
-for _unit, _us in UNITS.items():
-    overload(f"suffix_{_unit}", (INT,), TIMEDELTA, lambda a, n=_us: from_micros(a * n, TIMEDELTA))
-
-
-def _exact_ns(a: Column) -> Column:
-    return F.when(a % 1000 == 0, _div(a, F.lit(1000))).otherwise(F.raise_error(F.lit("a duration below one microsecond has no value")).cast("long"))
-
-
-overload("suffix_ns", (INT,), TIMEDELTA, lambda a: from_micros(_exact_ns(a), TIMEDELTA))
+overload("-", (TIMEDELTA,), TIMEDELTA, lambda a: -a)
+for _unit, _ns in UNITS.items():
+    overload(f"suffix_{_unit}", (INT,), TIMEDELTA, lambda a, n=_ns: a * n)
 
-#: Accepted layouts of dates, times, and both; a fraction of up to six digits may follow.
+#: Accepted layouts of dates, times, and both; a fraction of up to nine digits may follow.
 _DATE_RE = r"(\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{8})"
 _TIME_RE = r"(\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)"
 
@@ -94,16 +87,16 @@ def _day(text: Column) -> Column:
 
 
 def _of_day(clock: Column) -> Column:
-    """Microseconds of the day of ``HH:MM[:SS[.f]]``."""
+    """Nanoseconds of the day of ``HH:MM[:SS[.f]]``."""
     part = lambda k: F.try_element_at(F.split(clock, "[:.]"), F.lit(k))
-    fraction = F.rpad(F.substring(F.coalesce(part(4), F.lit("")), 1, 6), 6, "0").try_cast("long")
+    fraction = F.rpad(F.coalesce(part(4), F.lit("")), 9, "0").try_cast("long")
     h, m, s = part(1).try_cast("long"), part(2).try_cast("long"), F.coalesce(part(3), F.lit("0")).try_cast("long")
     return F.when((h < 24) & (m < 60) & (s < 60), h * UNITS["h"] + m * UNITS["m"] + s * UNITS["s"] + F.coalesce(fraction, F.lit(0)))
 
 
 def parse_time(text: Column) -> Column:
     stamp = F.when(text.rlike(f"^{_TIME_RE}$"), text).when(text.rlike(f"^{_DATE_RE}[ T]{_TIME_RE}$") & _day(text).isNotNull(), F.regexp_extract(text, f"{_TIME_RE}$", 1))
-    return _of_day(stamp)
+    return exact_us(_of_day(stamp))
 
 
 def parse_date(text: Column) -> Column:
@@ -115,27 +108,29 @@ def parse_timestamp(text: Column) -> Column:
     both = text.rlike(f"^{_DATE_RE}[ T]{_TIME_RE}$")
     clock = F.when(both | text.rlike(f"^{_TIME_RE}$"), _of_day(F.regexp_extract(text, f"{_TIME_RE}$", 1))).when(text.rlike(f"^{_DATE_RE}$"), F.lit(0))
     day = F.when(text.rlike(f"^{_TIME_RE}$"), F.lit(0)).otherwise(F.unix_date(_day(text)))
-    return from_micros(day.cast("long") * DAY_US + clock, TIMESTAMP)
+    return from_micros(day.cast("long") * DAY_US + exact_us(clock), TIMESTAMP)
 
 
 def parse_timedelta(text: Column) -> Column:
     """``[-][N day[s] ]HH:MM:SS[.f]`` or ``N day[s]``."""
     days = F.coalesce(F.regexp_extract(text, r"^-?(\d+) days?", 1).try_cast("long"), F.lit(0))
     clock = F.regexp_extract(text, f"{_TIME_RE}$", 1)
-    us = days * DAY_US + F.coalesce(_of_day(F.when(clock != "", clock)), F.lit(0))
+    ns = days * UNITS["d"] + F.coalesce(_of_day(F.when(clock != "", clock)), F.lit(0))
     shape = rf"^-?(\d+ days?|(\d+ days? )?{_TIME_RE})$"
-    return F.when(text.rlike(shape), from_micros(F.when(text.startswith("-"), -us).otherwise(us), TIMEDELTA))
+    return F.when(text.rlike(shape), F.when(text.startswith("-"), -ns).otherwise(ns))
 
 
-def _clock(us: Column) -> Column:
-    """HH:MM:SS with a fraction where there is one, of 0 to a day."""
+def _clock(ns: Column) -> Column:
+    """HH:MM:SS of 0 to a day, with six digits of a fraction where there is one, or nine."""
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    hms = F.concat(two(_div(us, F.lit(UNITS["h"]))), F.lit(":"), two(_div(us, F.lit(UNITS["m"])) % 60), F.lit(":"), two(_div(us, F.lit(UNITS["s"])) % 60))
-    return F.when(us % UNITS["s"] == 0, hms).otherwise(F.concat(hms, F.lit("."), F.lpad((us % UNITS["s"]).cast("string"), 6, "0")))
+    hms = F.concat(two(_div(ns, F.lit(UNITS["h"]))), F.lit(":"), two(_div(ns, F.lit(UNITS["m"])) % 60), F.lit(":"), two(_div(ns, F.lit(UNITS["s"])) % 60))
+    part = ns % UNITS["s"]
+    digits = F.when(part % 1000 == 0, F.lpad(_div(part, F.lit(1000)).cast("string"), 6, "0")).otherwise(F.lpad(part.cast("string"), 9, "0"))
+    return F.when(part == 0, hms).otherwise(F.concat(hms, F.lit("."), digits))
 
 
 def time_text(c: Column) -> Column:
-    return _clock(c)
+    return _clock(c * 1000)
 
 
 def date_text(c: Column) -> Column:
@@ -143,12 +138,11 @@ def date_text(c: Column) -> Column:
 
 
 def timestamp_text(c: Column) -> Column:
-    return F.concat(F.date_format(c, "yyyy-MM-dd"), F.lit(" "), _clock(F.pmod(micros(c, TIMESTAMP), F.lit(DAY_US))))
+    return F.concat(F.date_format(c, "yyyy-MM-dd"), F.lit(" "), _clock(F.pmod(micros(c, TIMESTAMP), F.lit(DAY_US)) * 1000))
 
 
-def timedelta_text(c: Column) -> Column:
-    us = micros(c, TIMEDELTA)
-    days = _div(F.abs(us), F.lit(DAY_US))
-    rest = F.abs(us) % DAY_US
+def timedelta_text(ns: Column) -> Column:
+    days = _div(F.abs(ns), F.lit(UNITS["d"]))
+    rest = F.abs(ns) % UNITS["d"]
     shown = F.when(days == 0, _clock(rest)).when(rest == 0, F.concat(days.cast("string"), F.lit(" days"))).otherwise(F.concat(days.cast("string"), F.lit(" days "), _clock(rest)))
-    return F.concat(F.when(us < 0, "-").otherwise(""), shown)
+    return F.concat(F.when(ns < 0, "-").otherwise(""), shown)

@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
-from ..functions.expr import Expr, column, compiled, has_aggregate, literal
-from ..functions.nil import stored
-from ..types import BOOL, Row, from_spark
+from ..functions.expr import Expr, column, compiled, has_aggregate, literal, nanos
+from ..functions.nil import nanos_interval, stored
+from ..types import BOOL, TIMEDELTA, Row, from_spark
 
 _fresh = itertools.count()
 Item = Expr | str
@@ -45,7 +45,7 @@ class Frame:
         row = row or {f.name: t for f in df.schema if (t := from_spark(f.dataType))}
         rest = [quoted(c) for c in df.columns if c not in row]
         keys = [(hidden(), quoted(c)) for c in order_by]
-        cols = [stored(quoted(n), t).alias(n) for n, t in row.items()]
+        cols = [stored(quoted(n), t, df.schema[n].dataType).alias(n) for n, t in row.items()]
         return cls(df.select(*cols, *rest, *(k.alias(h) for h, k in keys)), row, [(h, True) for h, _ in keys])
 
     @classmethod
@@ -55,7 +55,7 @@ class Frame:
 
         h = hidden()
         schema = T.StructType([T.StructField(n, t.spark) for n, t in row.items()] + [T.StructField(h, T.LongType())])
-        df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], schema)
+        df = spark.createDataFrame([(*map(nanos, r), i) for i, r in enumerate(rows)], schema)
         return cls(df.select(*(stored(quoted(n), t).alias(n) for n, t in row.items()), h), row, [(h, True)])
 
     # -- looking ----------------------------------------------------------
@@ -86,7 +86,12 @@ class Frame:
         return [quoted(n).asc_nulls_last() if up else quoted(n).desc_nulls_first() for n, up in self.order]
 
     def to_df(self, ordered: bool = False) -> DataFrame:
-        """The visible columns; with ``ordered``, physically sorted."""
+        """The visible columns, durations as intervals; with ``ordered``, physically sorted."""
+        out = self.kept(ordered)
+        return out.select(*((nanos_interval(quoted(n)) if t is TIMEDELTA else quoted(n)).alias(n) for n, t in self.row.items()))
+
+    def kept(self, ordered: bool = False) -> DataFrame:
+        """The visible columns in the form in which they are kept: durations in nanoseconds."""
         df = self.df.orderBy(*self.order_by()) if ordered and self.order else self.df
         return df.select(*map(quoted, self.row))
 

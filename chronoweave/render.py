@@ -7,6 +7,7 @@ import math
 import shutil
 from typing import TYPE_CHECKING
 
+from .functions.expr import nanos
 from .types import BOOL, CHAR, DATE, FLOAT, TIME, TIMEDELTA, TIMESTAMP, Type
 
 if TYPE_CHECKING:
@@ -26,17 +27,18 @@ def float_digits(x: float) -> str:
     return f"{whole}.{part.rstrip('0') or '0'}"
 
 
-def _clock(us: int) -> str:
+def _clock(us: int, ns: int = 0) -> str:
     s, us = divmod(us, 1_000_000)
     out = f"{s // 3600:02d}:{s // 60 % 60:02d}:{s % 60:02d}"
-    return f"{out}.{us:06d}" if us else out
+    return f"{out}.{us:06d}{ns:03d}" if ns else f"{out}.{us:06d}" if us else out
 
 
-def _delta(x: dt.timedelta) -> str:
-    us = x // dt.timedelta(microseconds=1)
-    days, rest = divmod(abs(us), 86_400_000_000)
-    out = _clock(rest) if not days else f"{days} days" if not rest else f"{days} days {_clock(rest)}"
-    return f"-{out}" if us < 0 else out
+def _delta(x: dt.timedelta | int) -> str:
+    x = nanos(x)
+    days, rest = divmod(abs(x), 86_400_000_000_000)
+    clock = _clock(*divmod(rest, 1000))
+    out = clock if not days else f"{days} days" if not rest else f"{days} days {clock}"
+    return f"-{out}" if x < 0 else out
 
 
 def text(x: object, t: Type) -> str:
@@ -92,5 +94,5 @@ def table_text(row: dict[str, Type], rows: list[tuple], more: bool = False) -> s
 def frame_text(frame: Frame, limit: int | None = None) -> str:
     """The head of a frame that fits the terminal; reads no more rows than it shows, and one."""
     limit = limit or max(4, shutil.get_terminal_size((80, 40)).lines - 4)
-    rows = [tuple(r) for r in frame.to_df(ordered=True).limit(limit + 1).collect()]
+    rows = [tuple(r) for r in frame.kept(ordered=True).limit(limit + 1).collect()]
     return table_text(frame.row, rows[:limit], len(rows) > limit)

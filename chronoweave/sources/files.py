@@ -96,7 +96,7 @@ def parquet(spark: SparkSession, path: str, columns: list[str] | None = None) ->
     row = {x.name: t for x in df.schema if (t := from_spark(x.dataType)) and (columns is None or x.name in columns)}
     from ..functions.nil import stored
 
-    cols = [stored(quoted(n), t).alias(n) for n, t in row.items()]
+    cols = [stored(quoted(n), t, df.schema[n].dataType).alias(n) for n, t in row.items()]
     rest = [] if columns else [quoted(c) for c in df.columns if c not in row]
     return Frame(df.select(*cols, *rest, F.col("_metadata.file_path").alias(f), F.col("_metadata.row_index").alias(i)), row, [(f, True), (i, True)])
 

@@ -22,7 +22,7 @@ BOOL = Type("Bool", T.BooleanType())
 STRING = Type("String", T.StringType())
 CHAR = Type("Char", T.StringType())
 TIMESTAMP = Type("Timestamp", T.TimestampNTZType())
-TIMEDELTA = Type("Timedelta", T.DayTimeIntervalType())
+TIMEDELTA = Type("Timedelta", T.LongType())  # nanoseconds; an interval where a table is given out
 TIME = Type("Time", T.LongType())  # microseconds of the day
 DATE = Type("Date", T.DateType())
 

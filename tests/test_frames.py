@@ -7,8 +7,9 @@ import pytest
 
 from chronoweave.errors import QueryError
 from chronoweave.functions import bar, call, count, duration, len_, mean, prod, stddev, sum_, to_date, variance
+from chronoweave.functions.expr import column
 from chronoweave.operators import Frame
-from chronoweave.types import BOOL, FLOAT, INT, STRING, TIMESTAMP
+from chronoweave.types import BOOL, FLOAT, INT, STRING, TIMEDELTA, TIMESTAMP
 
 NAN = float("nan")
 
@@ -116,3 +117,15 @@ def test_filter_reaches_the_scan(spark, sf_dir):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "l_comment" not in plan and "l_shipdate" not in plan.split("ReadSchema")[1]
     assert "PushedFilters" in plan
+
+
+def test_durations_are_nanoseconds(spark):
+    t = Frame.rows(spark, {"n": INT, "d": TIMEDELTA}, [(3000, dt.timedelta(seconds=2)), (None, None)])
+    got = t.query({"a": t.d * call("Timedelta", t.n), "b": call("Int64", t.d / call("Timedelta", t.n)), "c": call("String", call("Timedelta", t.n + 1)), "e": call("Timestamp", t.n)}).collect()
+    assert got == [(dt.timedelta(microseconds=6_000_000_000), 666_666, "00:00:00.000003001", dt.datetime(1970, 1, 1, 0, 0, 0, 3)), (None, None, "", None)]
+    for bad in (call("Timedelta", t.n + 1), call("Timestamp", t.n + 1), call("Time", t.n + 1)):  # none is cut without an error
+        with pytest.raises(Exception, match="microsecond"):
+            t.query({"x": bad}).collect()
+    with pytest.raises(Exception, match="microsecond"):
+        Frame.rows(spark, {"s": STRING}, [("2020-01-01 10:00:00.123456789",)]).query({"x": call("Timestamp", column("s", STRING))}).collect()
+    assert Frame.of(t.to_df()).collect() == t.collect()  # out as intervals, and in again
