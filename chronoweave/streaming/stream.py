@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +18,7 @@ from ..errors import QueryError
 from ..functions.expr import Expr, column, compiled, has_aggregate
 from ..functions.nil import stored
 from ..operators.frame import Frame, Items, quoted
+from ..shared import new_folder
 from ..sources.files import _cells, infer_row, typed
 from ..types import BOOL, Row, from_spark
 
@@ -93,19 +95,36 @@ class StreamFrame:
         writer = self.df.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
-    def start(self, name: str, mode: str = "complete", trigger: dict | None = None) -> StreamingQuery:
-        """Keep the result in a memory table ``name``, for small results."""
-        return self.df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(**(trigger or {"availableNow": True})).start()
+    def start(self, folder: str, mode: str = "complete", trigger: dict | None = None) -> StreamingQuery:
+        """Write each micro-batch's rows as Parquet under ``folder``/rows, by its number.
 
-    def so_far(self, name: str, mode: str = "complete") -> Frame:
+        A batch that is repeated after a failure overwrites its own rows.  In complete mode
+        each batch holds the whole result.  Offsets and state are kept under ``folder`` too,
+        which driver and executors must share.
+        """
+
+        def write(df: DataFrame, n: int) -> None:
+            df.write.mode("overwrite").parquet(f"{folder}/rows/batch={n}")
+
+        writer = self.df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint")
+        return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+    def so_far(self, mode: str = "complete", folder: str | None = None) -> Frame:
         """The result over all input that is there now."""
-        q = self.start(name, mode)
+        spark = self.df.sparkSession
+        folder = folder or new_folder(spark)
+        q = self.start(folder, mode)
         try:
             q.awaitTermination()
         finally:
             q.stop()
-        spark = self.df.sparkSession
-        return Frame(spark.table(name).select(*map(quoted, self.row)), self.row)
+        try:
+            rows = spark.read.parquet(f"{folder}/rows")
+        except AnalysisException:  # no batch was written
+            return Frame(spark.createDataFrame([], self.df.schema).select(*map(quoted, self.row)), self.row)
+        if mode == "complete":
+            rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+        return Frame(rows.select(*map(quoted, self.row)), self.row)
 
 
 def stream_csv_load(spark: SparkSession, folder: str, row: Row) -> StreamFrame:
@@ -125,4 +144,4 @@ def stream_parquet(spark: SparkSession, path: str) -> StreamFrame:
     folder, _, last = path.rstrip("/").rpartition("/")
     reader = spark.readStream.schema(schema)
     df = reader.option("pathGlobFilter", last).parquet(folder) if last.endswith(".parquet") else reader.parquet(path)
-    return StreamFrame(df.select(*(stored(quoted(n), t).alias(n) for n, t in row.items())), row)
+    return StreamFrame(df.select(*(stored(quoted(n), t, schema[n].dataType).alias(n) for n, t in row.items())), row)

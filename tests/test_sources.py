@@ -66,9 +66,9 @@ def test_stream_of_csv_files(spark, tmp_path):
     for i in range(3):
         (folder / f"{i}.csv").write_text("k,v\n" + "".join(f"{'ab'[j % 2]},{i * 10 + j}\n" for j in range(i * 2)))
     t = stream_csv_load(spark, str(folder), {"k": STRING, "v": INT})
-    got = t.query({"s": sum_(t.v), "n": len_(t.v), "m": mean(t.v), "w": variance(t.v)}, by=["k"]).so_far("csv_sums").collect()
+    got = t.query({"s": sum_(t.v), "n": len_(t.v), "m": mean(t.v), "w": variance(t.v)}, by=["k"]).so_far().collect()
     assert sorted(got) == [("a", 52, 3, 52 / 3, pytest.approx(27.555555556)), ("b", 55, 3, 55 / 3, pytest.approx(27.555555556))]
-    first = t.query({"k": t.k, "v": t.v + 1}, where=t.v > 20).so_far("csv_rows", "append").collect()
+    first = t.query({"k": t.k, "v": t.v + 1}, where=t.v > 20).so_far("append").collect()
     assert sorted(first) == [("a", 23), ("b", 22), ("b", 24)]
 
 
@@ -83,7 +83,7 @@ def test_stream_refuses_order(spark, sf_dir):
 
 def test_stream_windows_with_watermark(spark, sf_dir):
     t = stream_parquet(spark, f"{sf_dir}/events.parquet").watermark("ts", "1 hour")
-    got = t.windowed("ts", "1 day", {"n": len_(t.user_id)}, by=["event_type"]).so_far("days").collect()
+    got = t.windowed("ts", "1 day", {"n": len_(t.user_id)}, by=["event_type"]).so_far().collect()
     b = Frame.of(spark.read.parquet(f"{sf_dir}/events.parquet"))
     want = b.query({"n": len_(b.user_id)}, by={"ts": bar(b.ts, duration(1, "d")), "event_type": b.event_type}).collect()
     assert sorted(got) == sorted(want)
