@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import and_, bar, call, count, duration, len_, mean, not_, prod, stddev, sum_, to_date, to_float, to_int, to_string, to_time, to_timestamp, variance, wavg
 from ..functions.expr import Expr
+from ..functions.nil import interval_nanos
 from ..operators import Frame
-from ..sources import parquet
-from ..streaming import stream_parquet
-from ..types import FLOAT, INT
+from ..shared import new_folder, save
+from ..sources import csv_load, csv_store, load, parquet
+from ..streaming import stream_csv_load, stream_parquet
+from ..types import CHAR, DATE, FLOAT, INT, STRING
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,10 +40,7 @@ def _rounded(df: DataFrame, **digits: int) -> DataFrame:
 
 def _us(df: DataFrame, *durations: str) -> DataFrame:
     """Durations as microseconds, for engines without the type."""
-    from ..functions.temporal import micros
-    from ..types import TIMEDELTA
-
-    return df.withColumns({c: micros(F.col(c), TIMEDELTA) for c in durations})
+    return df.withColumns({c: F.call_function("div", interval_nanos(F.col(c)), F.lit(1000)) for c in durations})
 
 
 BAR7 = "make_timestamp((epoch_us(l_shipdate) // 604800000000) * 604800000000)"
@@ -125,8 +123,11 @@ def agg_whole(spark, sf_dir):
 
 
 def _numbered(t: Frame) -> DataFrame:
-    """Visible columns with the row's place in order; dense numbers from per-partition counts."""
-    df = t.df.orderBy(*t.order_by()).select(*t.row, F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i"))
+    """Visible columns with the row's place in order; dense numbers from per-partition counts.
+
+    The sorted rows are written once with their partition, so that counts and numbers see one sort.
+    """
+    df = save(t.df.orderBy(*t.order_by()).select(*t.row, F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i")))
     from pyspark.sql import Window as W
 
     base = df.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_0"))
@@ -346,14 +347,14 @@ def udf_generic(spark, sf_dir):
 def stream_running(spark, sf_dir):
     t = stream_parquet(spark, f"{sf_dir}/events.parquet")
     out = t.query({"s": sum_(t.value), "n": count(t.value), "m": mean(t.value), "v": variance(t.value)}, by=["event_type"])
-    return _rounded(out.so_far(f"running_{uuid.uuid4().hex}").to_df(), s=2, m=6, v=4)
+    return _rounded(out.so_far().to_df(), s=2, m=6, v=4)
 
 
 @query("SELECT event_type, make_timestamp((epoch_us(ts) // 86400000000) * 86400000000) AS ts, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
 def stream_bar(spark, sf_dir):
     t = stream_parquet(spark, f"{sf_dir}/events.parquet")
     out = t.query({"n": len_(t.value)}, by=[t.event_type, bar(t.ts, duration(1, "d"))])
-    return out.so_far(f"bars_{uuid.uuid4().hex}").to_df()
+    return out.so_far().to_df()
 
 
 @query("SELECT i AS n, i * i AS sq FROM range(0, 1000) t(i)")
@@ -371,3 +372,170 @@ def lookup_then_group(spark, sf_dir):
 
 
 
+
+
+def _sides_no_key(spark, sf_dir) -> tuple[Frame, Frame]:
+    left, right = _purchases_views(spark, sf_dir)
+    return left.query(["event_id", "ts"]), right.query(["ts", "view_id"])
+
+
+_NO_KEY = "WITH l AS (SELECT event_id, ts FROM events WHERE event_type = 'purchase'), r AS (SELECT ts, {pick}(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY 1) "
+
+
+@query(_NO_KEY.format(pick="min") + "SELECT l.event_id, r.view_id FROM l ASOF LEFT JOIN r ON l.ts < r.ts")
+def asof_no_key_forward_strict(spark, sf_dir):
+    left, right = _sides_no_key(spark, sf_dir)
+    return left.join(right, asof="ts", direction="forward", strict=True).query(["event_id", "view_id"]).to_df()
+
+
+_NO_KEY_BOTH = (
+    _NO_KEY.format(pick="max")
+    + ", f AS (SELECT ts, min(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY 1), "
+    + "b AS (SELECT l.event_id, l.ts, r.view_id AS bid, r.ts AS bts FROM l ASOF LEFT JOIN r ON l.ts >= r.ts), "
+    + "a AS (SELECT l.event_id, f.view_id AS aid, f.ts AS ats FROM l ASOF LEFT JOIN f ON l.ts < f.ts) "
+)
+
+
+@query(_NO_KEY_BOTH + f"SELECT event_id, {_NEAR.format(b='bid', a='aid')} AS view_id FROM b JOIN a USING (event_id)")
+def asof_no_key_nearest(spark, sf_dir):
+    left, right = _sides_no_key(spark, sf_dir)
+    return left.join(right, asof="ts", direction="nearest").query(["event_id", "view_id"]).to_df()
+
+
+@query(_NO_KEY_BOTH + "SELECT event_id, CASE WHEN ts - bts <= INTERVAL 90 SECOND THEN bid END AS view_id FROM b JOIN a USING (event_id)")
+def asof_no_key_within(spark, sf_dir):
+    left, right = _sides_no_key(spark, sf_dir)
+    return left.join(right, asof="ts", within=duration(90, "s")).query(["event_id", "view_id"]).to_df()
+
+
+@query(
+    _SIDES.format(pick="min")
+    + "SELECT l.event_id, CASE WHEN r.ts - l.ts <= INTERVAL 12 HOUR THEN r.view_id END AS view_id FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts <= r.ts"
+)
+def asof_forward_within(spark, sf_dir):
+    left, right = _purchases_views(spark, sf_dir)
+    return left.join(right, on=["user_id"], asof="ts", direction="forward", within=duration(12, "h")).query(["event_id", "view_id"]).to_df()
+
+
+@query(
+    "WITH l AS (SELECT event_id, user_id, event_id % 3 AS lot, ts FROM events WHERE event_type = 'purchase'), "
+    "r AS (SELECT user_id, event_id % 3 AS lot, ts, max(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY 1, 2, 3) "
+    "SELECT l.event_id, r.view_id FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.lot = r.lot AND l.ts >= r.ts"
+)
+def asof_two_keys(spark, sf_dir):
+    left, right = _purchases_views(spark, sf_dir)
+    left = left.query({"event_id": left.event_id, "user_id": left.user_id, "lot": left.event_id % 3, "ts": left.ts})
+    right = right.query({"user_id": right.user_id, "lot": right.view_id % 3, "ts": right.ts, "view_id": right.view_id})
+    return left.join(right, on=["user_id", "lot"], asof="ts").query(["event_id", "view_id"]).to_df()
+
+
+@query(
+    "WITH l AS (SELECT event_id, user_id % 10 AS u, epoch_us(ts) // 3600000000 AS h FROM events WHERE event_type = 'purchase'), "
+    "r AS (SELECT user_id % 10 AS u, epoch_us(ts) // 3600000000 AS h, max(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY 1, 2) "
+    "SELECT l.event_id, r.view_id FROM l ASOF LEFT JOIN r ON l.u = r.u AND l.h > r.h"
+)
+def asof_of_expressions(spark, sf_dir):
+    """Keys and times that are expressions: the user's group and the hour."""
+    left, right = _purchases_views(spark, sf_dir)
+    out = left.join(right, on=[lambda t: t["user_id"] % 10], asof=lambda t: bar(t["ts"], duration(1, "h")), strict=True)
+    return out.query(["event_id", "view_id"]).to_df()
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, coalesce(s_name, '') AS s_name FROM lineitem LEFT JOIN supplier s ON l_suppkey = s.s_suppkey AND l_linenumber = s.s_nationkey % 7 + 1"
+)
+def lookup_two_keys(spark, sf_dir):
+    """A lookup by two keys, one of them an expression."""
+    l, s = _t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "supplier")  # noqa: E741
+    key = lambda t: t["l_suppkey"] if "l_suppkey" in t.row else t["s_suppkey"]
+    lot = lambda t: t["l_linenumber"] if "l_linenumber" in t.row else t["s_nationkey"] % 7 + 1
+    return l.join(s, on=[key, lot]).query(["l_orderkey", "l_linenumber", "s_name"]).to_df()
+
+
+@query(
+    "SELECT event_id, chr((65 + event_id % 26)::INTEGER) AS letter, (65 + event_id % 26)::BIGINT AS code, event_id % 2 = 0 AS even, make_timestamp(event_id * 1000) AS moment, (event_id * 1000) % 86400000000 AS clock, (DATE '1970-01-01' + (event_id % 9000)::INTEGER)::DATE AS day, ts::DATE::TIMESTAMP AS midnight, CASE WHEN user_id % 2 = 0 THEN 93784500000 END AS gap FROM events"
+)
+def casts_rare(spark, sf_dir):
+    """Char, Bool, Timedelta, and moments of nanoseconds and of texts."""
+    t = _t(spark, sf_dir, "events")
+    text = Expr(STRING, lambda u: F.when(u % 2 == 0, "1 day 02:03:04.5").otherwise("soon"), (t.user_id,), True)
+    letter, ns = call("Char", t.event_id % 26 + 65), t.event_id * 1_000_000
+    cols = {"event_id": t.event_id, "letter": letter, "code": to_int(letter), "even": call("Bool", t.event_id % 2 == 0), "moment": to_timestamp(ns), "clock": to_time(ns % 86_400_000_000_000)}
+    cols |= {"day": to_date((t.event_id % 9000) * 86_400_000_000_000), "midnight": to_timestamp(to_date(t.ts)), "gap": call("Timedelta", text)}
+    return _us(t.query(cols).to_df(), "gap")
+
+
+@query("SELECT event_id, event_id % 500 * 86400000000 AS days, event_id * 7 AS part, 3600000000 // (event_id + 1) * 1000 AS quotient, CASE WHEN event_id % 2 = 0 THEN -1500000 ELSE 250 END AS units FROM events")
+def timedelta_ops(spark, sf_dir):
+    """Products and quotients of durations, in nanoseconds, and their suffixes."""
+    t = _t(spark, sf_dir, "events")
+    nanos = lambda e: call("Timedelta", e)
+    odd = Expr(INT, lambda n: F.when(n % 2 == 0, F.lit(-1_500_000_000)).otherwise(F.lit(250_000)), (t.event_id,), True)
+    cols = {"event_id": t.event_id, "days": duration(1, "d") * nanos(t.event_id % 500), "part": duration(7, "us") * nanos(t.event_id), "quotient": duration(1, "h") / nanos((t.event_id + 1) * 1000) * nanos(to_int(duration(1, "ms"))), "units": nanos(odd)}
+    return _us(t.query(cols).to_df(), "days", "part", "quotient", "units")
+
+
+def _stored(spark, t: Frame) -> str:
+    path = f"{new_folder(spark)}/t.csv"
+    csv_store(t, path)
+    return path
+
+
+@query("SELECT o_orderkey, o_orderpriority || ', \"' || o_orderstatus || '\"' AS tag, round(o_totalprice, 2) AS o_totalprice, o_orderdate::DATE AS day, o_orderdate::TIMESTAMP AS at, o_orderkey % 2 = 0 AS even FROM orders")
+def csv_store_load(spark, sf_dir):
+    """Stored with quoted cells, and loaded under the inferred row type."""
+    t = _t(spark, sf_dir, "orders")
+    cols = {"o_orderkey": t.o_orderkey, "tag": t.o_orderpriority + ', "' + t.o_orderstatus + '"', "o_totalprice": t.o_totalprice, "day": to_date(t.o_orderdate), "at": to_timestamp(t.o_orderdate), "even": t.o_orderkey % 2 == 0}
+    return _rounded(load(spark, _stored(spark, t.query(cols))).to_df(), o_totalprice=2)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS n, NULL::DATE AS f, substr(o_orderstatus, 1, 1) AS c FROM orders")
+def csv_load_typed(spark, sf_dir):
+    """Cells that don't parse under the given types are missing."""
+    t = _t(spark, sf_dir, "orders")
+    text = Expr(STRING, lambda k, c: F.when(k % 3 == 0, c.cast("string")).otherwise(F.concat(c.cast("string"), F.lit("x"))), (t.o_orderkey, t.o_custkey), True)
+    path = _stored(spark, t.query({"o_orderkey": t.o_orderkey, "n": text, "f": t.o_orderpriority, "c": t.o_orderstatus}))
+    return csv_load(spark, path, {"o_orderkey": INT, "n": INT, "f": DATE, "c": CHAR}).to_df()
+
+
+@query("SELECT event_type, count(*)::BIGINT AS n, sum(user_id)::BIGINT AS s, product(CASE WHEN event_id = 7 THEN 3.0 ELSE 1.0 END) AS p FROM events GROUP BY 1")
+def stream_csv(spark, sf_dir):
+    """Running aggregates over CSV files that arrive in a folder."""
+    t = _t(spark, sf_dir, "events")
+    three = Expr(FLOAT, lambda i: F.when(i == 7, 3.0).otherwise(1.0), (t.event_id,), True)
+    path = _stored(spark, t.query({"event_id": t.event_id, "user_id": t.user_id, "event_type": t.event_type, "f": three}))
+    s = stream_csv_load(spark, path.rpartition("/")[0], {"event_id": INT, "user_id": INT, "event_type": STRING, "f": FLOAT})
+    return s.query({"n": len_(s.event_id), "s": sum_(s.user_id), "p": prod(s.f)}, by=["event_type"]).so_far().to_df()
+
+
+@query("SELECT event_id, user_id + 1 AS next FROM events WHERE event_type = 'view'")
+def stream_rows(spark, sf_dir):
+    """A projection and filter of a stream, batch by batch."""
+    t = stream_parquet(spark, f"{sf_dir}/events.parquet")
+    return t.query({"event_id": t.event_id, "next": t.user_id + 1}, where=t.event_type == "view").so_far("append").to_df()
+
+
+@query("SELECT user_id, max(event_id) AS last FROM events GROUP BY 1")
+def stream_batches(spark, sf_dir):
+    """Operators that need order, inside each micro-batch: here the sorted batch's groups."""
+    t, folder = stream_parquet(spark, f"{sf_dir}/events.parquet"), new_folder(spark)
+
+    def keep(batch: Frame, n: int) -> None:
+        first = batch.df.groupBy("user_id").agg(F.max("event_id").alias("last"))
+        first.write.mode("overwrite").parquet(f"{folder}/rows/batch={n}")
+
+    t.each_batch(keep, f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").groupBy("user_id").agg(F.max("last").alias("last"))
+
+
+@query("SELECT l_suppkey, l_returnflag, count(*)::BIGINT AS n FROM lineitem GROUP BY 1, 2")
+def group_two_keys(spark, sf_dir):
+    t = _t(spark, sf_dir, "lineitem")
+    return t.query({"n": len_(t.l_orderkey)}, by=["l_suppkey", "l_returnflag"]).to_df()
+
+
+@query("SELECT l_suppkey, (product(CASE WHEN l_orderkey % 40 = 0 THEN -1 WHEN l_orderkey % 997 = 0 THEN 2 ELSE 1 END))::BIGINT AS p FROM lineitem GROUP BY 1")
+def agg_int_product(spark, sf_dir):
+    t = _t(spark, sf_dir, "lineitem")
+    factor = Expr(INT, lambda k: F.when(k % 40 == 0, -1).when(k % 997 == 0, 2).otherwise(1).cast("long"), (t.l_orderkey,), True)
+    return t.query({"p": prod(factor)}, by=["l_suppkey"]).to_df()

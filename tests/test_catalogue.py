@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from chronoweave.plans import programs  # noqa: F401  they register themselves
 from chronoweave.plans.catalogue import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
