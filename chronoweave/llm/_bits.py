@@ -12,6 +12,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 
+from ._rows import batch, fields
 from ._store import parts
 from ._text import mix
 
@@ -40,7 +41,8 @@ def merged(df: DataFrame, size: int, dtype: str, how: str) -> np.ndarray:
 
     n = min(parts(df.sparkSession), max(1, size // SEG))
     out, z = np.zeros(size, dtype), zstandard.ZstdDecompressor()
-    for r in df.repartition(n, "seg").mapInPandas(fold, "seg int, blob binary").collect():
+    few = df.repartition(n, "seg").coalesce(max(1, out.nbytes >> 22))  # 4 MB of the result for each task
+    for r in few.mapInPandas(fold, "seg int, blob binary").collect():
         a = np.frombuffer(z.decompress(bytes(r.blob)), dtype)
         out[r.seg * SEG : r.seg * SEG + len(a)] = a
     return out
@@ -52,19 +54,25 @@ def _slots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return h & mask, (h >> np.uint64(32)) & mask
 
 
+def room(keys: int) -> int:
+    """Bits of a filter for so many keys: 16 each, up to the bound of 32 MB."""
+    return 1 << min(28, max(19, (16 * keys).bit_length()))
+
+
 def key_filter(df: DataFrame, column: str, bits: int = 1 << 23) -> np.ndarray:
     """Bloom filter (two hashes) over a long column: ``bits / 8`` bytes, 1 MB by default."""
 
+    out = fields("seg int, blob binary")
+
     def fill(batches):
         acc = np.zeros(bits // 8, np.uint8)
-        for pdf in batches:
-            for slot in _slots(pdf[column].dropna().to_numpy(), bits):
+        for b in batches:
+            for slot in _slots(b.column(column).drop_null().to_numpy(), bits):
                 np.bitwise_or.at(acc, slot >> np.uint64(3), np.left_shift(np.uint8(1), (slot & np.uint64(7)).astype(np.uint8)))
         rows = segments(acc)
-        if rows:
-            yield pd.DataFrame(rows, columns=["seg", "blob"])
+        yield batch({"seg": [s for s, _ in rows], "blob": [x for _, x in rows]}, out)
 
-    return merged(df.select(column).mapInPandas(fill, "seg int, blob binary"), bits // 8, "uint8", "or")
+    return merged(df.select(column).mapInArrow(fill, out), bits // 8, "uint8", "or")
 
 
 def maybe(keys: np.ndarray, table: np.ndarray) -> np.ndarray:

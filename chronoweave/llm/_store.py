@@ -2,44 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder only where it is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/chronoweave"
-
-
-def save(df: DataFrame, small: bool = False) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    ``small`` writes it in two tasks a core of the cluster, for tables of few bytes.  The written table cuts the lineage, so that losing an executor later costs a
-    reread and not a recomputation, and several readers share one computation.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cw-{uuid.uuid4().hex}"
-    if small:
-        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cw_path = path
-    return out
-
-
-def free(df: DataFrame) -> None:
-    """Delete a table written by :func:`save`."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._cw_path)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+from ..shared import free, save  # noqa: F401
 
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def dealt(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """``df`` of about ``rows`` rows in as many tasks as give ``each`` rows to one, or in those it has if these are fewer."""
+    return df.coalesce(rows // each + 1)
+
+
 #: Rows up to which a side is broadcast: a bound that callers check by counting first.
 BROADCAST_ROWS = 10_000
 
@@ -48,10 +25,10 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     """Join ``big`` with a table of unique keys that is usually tiny.
 
     ``small`` is counted; up to BROADCAST_ROWS rows it is broadcast.  Beyond that the
-    key is salted, so that one key with a third of all rows spreads over ``salts`` tasks.
+    key is salted at random but repeatably by the row's place, so that one key with a third of all rows spreads over ``salts`` tasks.
     """
     if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), on, how)
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    key = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
-    return big.withColumn("_salt", key).join(salted, [*on, "_salt"], how).drop("_salt")
+    salted = small.withColumn("__cw_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    key = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    return big.withColumn("__cw_salt", key).join(salted, [*on, "__cw_salt"], how).drop("__cw_salt")
