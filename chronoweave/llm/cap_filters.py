@@ -12,10 +12,22 @@ The number of filters follows the number of vectors (FILL filters each) and the
 such that a vector exceeds about ``per_vector`` of them, so unrelated vectors seldom meet,
 at any size.  For 64 coordinates a pair at cosine 0.95 is missed about once in a hundred.
 
+Groups of near copies take no pair for each two of their vectors:
+
+1. In turns, each vector is compared with one representative of every filter it shares,
+   and components of links contract.  Then vectors of different components that share a
+   filter are compared, where a filter's vectors outside its main component probe the others.
+2. In a component, the vectors within half the threshold's angle of the component's mean
+   are a ball: any two of them link, so their links are counted and not compared.
+3. The vectors outside the ball are compared with the vectors of their component that share
+   a filter with them.
+
 Defined results: a vector that is null, empty, zero, or holds null or non-finite
 components has no links and is its own component; only vectors of equal length are
 compared; equal vectors collapse before and count in full after; rows that repeat a
-vec_id are separate vectors of one node.
+vec_id are separate vectors, each with its own links; a null vec_id takes links and component of its
+equal vectors, and has none where none of these has an id; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,16 +36,19 @@ import math
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import save
+from ._rows import batch, extend, fields, lists, slices
+from ._store import free, save
 
 BLOCKS = 4
 #: Filters per vector of the table.
 FILL = 256
+#: Turns of comparison with representatives at most, and the share of pairs that must link for another turn.
+TURNS, WORTH = 4, 0.05
 
 
 class ProductCode:
@@ -87,63 +102,166 @@ class ProductCode:
         return left_id[at].astype(np.int64) * self.codes**2 + right_id[to], left[at] + right[to]
 
 
-def _unit(blobs) -> np.ndarray:
-    x = np.stack([np.frombuffer(b, np.float64) for b in blobs])
+def _rows_of(blobs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), -1)
+
+
+def _unit(blobs: list[bytes]) -> np.ndarray:
+    x = _rows_of(blobs)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _by_length(blobs: list[bytes]):
+    """Places of the vectors of each length."""
+    n = np.array([len(b) for b in blobs])
+    return [np.flatnonzero(n == k) for k in np.unique(n)]
+
+
 def _scaled(values) -> bytes | None:
     """The components as doubles, scaled by their largest so that no norm overflows; None if not a direction."""
-    if values is None or len(values) == 0:
+    if not values or None in values:
         return None
-    x = np.array([np.nan if v is None else v for v in values], np.float64) if getattr(values, "dtype", object) == object else values.astype(np.float64)
+    x = np.array(values, np.float64)
     top = np.abs(x).max()
     return None if not np.isfinite(top) or top == 0 else (x if 1e-100 < top < 1e100 else x / top).tobytes()
 
 
+def _linked(pairs: DataFrame, nodes: DataFrame, cosine: float) -> DataFrame:
+    """The pairs (a, b) of at least ``cosine``, in double precision, with components (pa, pb) and copies (ca, cb)."""
+
+    def verify(batches):
+        for b in slices(batches, 4096):
+            xa, xb = b.column("xa").to_pylist(), b.column("xb").to_pylist()
+            keep = np.zeros(b.num_rows, bool)
+            for at in _by_length(xa):  # both sides have equal lengths
+                keep[at] = np.einsum("ij,ij->i", _unit([xa[i] for i in at]), _unit([xb[i] for i in at])) >= cosine
+            yield b.select(out.names).filter(pa.array(keep))
+
+    out = fields("a long, b long, pa long, pb long, ca long, cb long")
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("x").alias(f"x{k}"), F.col("comp").alias(f"p{k}"), F.col("copies").alias(f"c{k}"))
+    return save(pairs.join(side("a"), "a").join(side("b"), "b").select(*out.names, "xa", "xb").mapInArrow(verify, out))
+
+
+def _contracted(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    near = components(links.select(F.col("pa").alias("a"), F.col("pb").alias("b")))
+    own = [c for c in nodes.columns if c != "comp"]
+    out = save(nodes.join(near.withColumnRenamed("node", "comp"), "comp", "left").select(*own, F.coalesce("component", "comp").alias("comp")))
+    free(nodes, near)
+    return out
+
+
+def _pairs(left: DataFrame, right: DataFrame, on: list[str], which: str) -> DataFrame:
+    """Distinct pairs, the lesser first, of ``node`` and ``other`` that meet."""
+    met = left.join(right, on).where(which)
+    return save(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+
+
+def _with_balls(nodes: DataFrame, cosine: float) -> DataFrame:
+    """Nodes with ``ball``: whether they lie within half the threshold's angle of their component's mean."""
+
+    def sums(batches):
+        for b in slices(batches, 4096):
+            comp, x = b.column("comp").to_numpy(), b.column("x").to_pylist()
+            ids, means = [], []
+            for at in _by_length(x):
+                own, to = np.unique(comp[at], return_inverse=True)
+                total = np.zeros((len(own), len(x[at[0]]) // 8))
+                np.add.at(total, to, _unit([x[i] for i in at]))
+                ids += own.tolist()
+                means += list(total)
+            yield batch({"comp": ids, "total": lists(means, pa.float64())}, part)
+
+    def near(x, center):
+        out = np.zeros(len(x), bool)
+        for at in _by_length(x):
+            c = np.array([center[i] for i in at])
+            norm = np.linalg.norm(c, axis=1)
+            out[at] = (norm > 0) & (np.einsum("ij,ij->i", _unit([x[i] for i in at]), c) >= (half + 1e-9) * norm)
+        return {"ball": out}
+
+    half, part = math.sqrt((1 + cosine) / 2), fields("comp long, total array<double>")
+    shared = nodes.groupBy("comp").count().where("count > 1").select("comp")
+    each = nodes.join(shared, "comp", "left_semi").select("comp", "x").mapInArrow(sums, part)
+    spread = each.select("comp", F.posexplode("total").alias("pos", "v")).groupBy("comp", "pos").agg(F.sum("v").alias("v"))
+    center = spread.groupBy("comp").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("c"))  # as many values as coordinates
+    center = save(center.select("comp", F.transform("c", lambda p: p["v"]).alias("center")))
+    own = extend(nodes.join(center, "comp"), ["x", "center"], near, "ball boolean", ["node"])
+    out = save(nodes.join(own, "node", "left").withColumn("ball", F.coalesce("ball", F.lit(False))))
+    free(center)
+    return out
+
+
 def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, per_vector: float = 64) -> DataFrame:
     """One row per row of ``table``: vec_id, n_links, component_id and kept."""
     spark = table.sparkSession
 
-    def read(batches):
-        for pdf in batches:
-            raw = [_scaled(v) for v in pdf.v]
-            yield pd.DataFrame({"vec_id": pdf.vec_id.astype("Int64"), "dim": [0 if r is None else len(r) // 8 for r in raw], "x": raw})
+    def read(values):
+        raw = [_scaled(v) for v in values]
+        return {"dim": [0 if r is None else len(r) // 8 for r in raw], "x": raw}
 
-    vectors = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).mapInPandas(read, "vec_id long, dim int, x binary")
-    vectors = save(vectors.withColumn("digest", F.unhex(F.sha2("x", 256))))
-    nodes = save(vectors.where("dim > 0").groupBy("digest").agg(F.min("vec_id").alias("node"), F.first("dim").alias("dim"), F.first("x").alias("x"), F.count("*").alias("copies")).where("node is not null"))
+    slim = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    vectors = save(extend(slim, ["v"], read, "dim int, x binary", ["vec_id"]).withColumn("digest", F.unhex(F.sha2("x", 256))))
+    nodes = vectors.where("dim > 0").groupBy("digest").agg(F.min("vec_id").alias("node"), F.first("dim").alias("dim"), F.first("x").alias("x"), F.count("*").alias("copies")).where("node is not null")
+    nodes = save(nodes.withColumnRenamed("node", "vec_id").withColumn("node", F.monotonically_increasing_id()))  # written, so that every reading finds the same keys
+    every, nodes = nodes, save(nodes.withColumn("comp", F.col("node")))
+    free(every)
     sizes = {r.dim: r["count"] for r in nodes.groupBy("dim").count().collect()}
     codes = spark.sparkContext.broadcast({d: vars(ProductCode(d, n, per_vector)) for d, n in sizes.items()})
+    entry = fields("node long, dim int, f long")
 
     def filters(batches):
         own = {}
-        for d, fields in codes.value.items():
+        for d, values in codes.value.items():
             own[d] = ProductCode.__new__(ProductCode)
-            own[d].__dict__.update(fields)
-        for pdf in batches:
-            for d, part in pdf.groupby("dim"):
-                for at in range(0, len(part), 256):
-                    cut = part.iloc[at : at + 256]
-                    found = own[d].decode(_unit(cut.x))
-                    yield pd.DataFrame({"node": np.repeat(cut.node.to_numpy(), [len(f) for f in found]), "dim": np.int32(d), "f": np.concatenate(found)})
-
-    rows = save(nodes.select("node", "dim", "x").mapInPandas(filters, "node long, dim int, f long"))
+            own[d].__dict__.update(values)
+        for b in slices(batches, 256):
+            node, x = b.column("node").to_numpy(), b.column("x").to_pylist()
+            for at in _by_length(x):
+                d = len(x[at[0]]) // 8
+                found = own[d].decode(_unit([x[i] for i in at]))
+                yield batch({"node": np.repeat(node[at], [len(f) for f in found]), "dim": np.full(sum(map(len, found)), d), "f": np.concatenate(found)}, entry)
+
+    rows = save(nodes.select("node", "x").mapInArrow(filters, entry))
     shared = rows.groupBy("dim", "f").count().where("count > 1").drop("count")
-    rows = save(rows.join(shared, ["dim", "f"]))
-    meet = rows.withColumnRenamed("node", "a").join(rows.withColumnRenamed("node", "b"), ["dim", "f"]).where("a < b")
-    pairs = save(meet.select("a", "b").distinct())
+    every, rows = rows, save(rows.join(shared, ["dim", "f"]))
+    free(every)
 
-    def verify(batches):
-        for pdf in batches:
-            for _, same in pdf.groupby(pdf.xa.map(len)):  # both sides have equal lengths
-                yield same.loc[np.einsum("ij,ij->i", _unit(same.xa), _unit(same.xb)) >= cosine, ["a", "b", "ca", "cb"]]
+    at = ["dim", "f"]
+    for turn in range(TURNS):
+        now = rows.join(nodes.select("node", "comp"), "node")
+        first = now.groupBy(*at).agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("place"), "node", "comp")).alias("r"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        first = first.where("low <> high").select(*at, F.col("r.node").alias("other"), F.col("r.comp").alias("other_comp"))
+        pairs = _pairs(now, first, at, "comp <> other_comp")
+        links = _linked(pairs, nodes, cosine)
+        made = links.count()
+        if made:
+            nodes = _contracted(nodes, links)
+        worth = made > WORTH * pairs.count()
+        free(pairs, links)
+        if not worth:
+            break
+
+    now = rows.join(nodes.select("node", "comp"), "node")
+    main = now.groupBy(*at, "comp").agg(F.count("*").alias("k")).groupBy(*at).agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("comps"))
+    main = save(main.where("comps > 1").select(*at, F.col("m.comp").alias("main")))
+    probes = now.join(main, at).where("comp <> main").select(*at, "main", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
+    pairs = _pairs(now, probes, at, "comp <> other_comp AND (comp = main OR node < other)")
+    links = _linked(pairs, nodes, cosine)
+    if links.count():
+        nodes = _contracted(nodes, links)
+    free(main, pairs, links)
 
-    side = lambda k: nodes.select(F.col("node").alias(k), F.col("x").alias(f"x{k}"), F.col("copies").alias(f"c{k}"))
-    links = save(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(verify, "a long, b long, ca long, cb long"))
+    nodes = _with_balls(nodes, cosine)
+    now = rows.join(nodes.select("node", "comp", "ball"), "node")
+    outside = now.where("NOT ball").select(*at, "comp", F.col("node").alias("other"))
+    pairs = _pairs(now, outside, [*at, "comp"], "ball OR node < other")
+    links = _linked(pairs, nodes, cosine)
     near = links.select(F.col("a").alias("node"), F.col("cb").alias("n")).unionByName(links.select(F.col("b").alias("node"), F.col("ca").alias("n"))).groupBy("node").agg(F.sum("n").alias("near"))
-    facts = nodes.select("digest", "node", "copies").join(near, "node", "left").join(components(links), "node", "left")
-    facts = save(facts.select("digest", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id")))
-    out = vectors.select("vec_id", "digest").join(facts, "digest", "left")
+    label = nodes.groupBy("comp").agg(F.min("vec_id").alias("component_id"), F.sum(F.when(F.col("ball"), F.col("copies"))).alias("balled"))
+    facts = nodes.join(near, "node", "left").join(label, "comp")
+    n_links = F.when(F.col("ball"), F.col("balled")).otherwise(F.col("copies")) - 1 + F.coalesce("near", F.lit(0))
+    facts = save(facts.select("digest", n_links.alias("n_links"), "component_id"))
+    free(rows, pairs, links, nodes)
+    labels = vectors.select("vec_id", "digest").join(facts, "digest", "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    return labels.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

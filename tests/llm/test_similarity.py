@@ -81,11 +81,12 @@ def test_ngram_join(spark):
     check_join(spark)
 
 
-def test_prefix_filter_alone(spark, monkeypatch):
-    """Without chains, and with common shingles dealt as pairs of blocks."""
-    monkeypatch.setattr(ngram_join, "HOT", 5)
-    monkeypatch.setattr(ngram_join, "ORDERS", 1)
-    monkeypatch.setattr(ngram_join, "_chained", lambda nodes, *_: nodes.selectExpr("doc_id AS a", "doc_id AS b").limit(0))
+def test_last_turn_alone(spark, monkeypatch):
+    """Without turns of nearest pairs, few entries a task, and common shingles dealt in blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 5)
+    monkeypatch.setattr(ngram_join, "PAIRS", 50)
+    monkeypatch.setattr(ngram_join, "SHARE", 500)
+    monkeypatch.setattr(ngram_join, "TURNS", 0)
     check_join(spark)
 
 
@@ -95,6 +96,11 @@ def test_join_of_repeats_and_nothing(spark):
     rows = [(7, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f"), (None, "z"), (3, None)]
     got = sorted(map(tuple, ngram_jaccard_join(spark.createDataFrame(rows, schema)).collect()), key=str)
     assert got == sorted([(7, 2, 7), (7, 2, 7), (None, 2, 7), (None, 1, None), (3, 0, 3)], key=str)
+    # one id with two texts is one node, linked by either
+    long = [" ".join(f"{k}{i}" for i in range(60)) for k in "ab"]
+    rows = [(9, long[0]), (9, long[1]), (2, long[0] + " x"), (4, long[1] + " y"), (2**60 + 1, "q"), (None, "r")]
+    got = sorted(map(tuple, ngram_jaccard_join(spark.createDataFrame(rows, schema)).collect()), key=str)
+    assert got == sorted([(9, 56, 2), (9, 56, 2), (2, 57, 2), (4, 57, 2), (2**60 + 1, 1, 2**60 + 1), (None, 1, None)], key=str)
 
 
 def vectors():
@@ -122,6 +128,28 @@ def test_near_vectors(spark):
     assert near_vectors(table.limit(0)).count() == 0
 
 
+def test_counts_of_a_large_group(spark):
+    """A ball's links are counted, not compared; those of vectors round it are compared."""
+    rng = np.random.default_rng(9)
+    center = rng.standard_normal(64) / 8
+    x = np.concatenate([center + rng.standard_normal((400, 64)) * 0.01, center + rng.standard_normal((60, 64)) * 0.045, rng.standard_normal((300, 64))])
+    x = np.concatenate([x, x[:40]])
+    got = {r.vec_id: r for r in near_vectors(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = u @ u.T >= 0.95
+    degree = true.sum(1) - 1
+    assert all(got[i].n_links == degree[i] for i in range(400) if not true[i, 400:460].any())
+    assert all(got[i].n_links <= degree[i] for i in got) and sum(r.n_links for r in got.values()) >= 0.99 * degree.sum()
+    assert {got[i].component_id for i in range(400)} == {0} and got[760].component_id == 0 and not got[760].kept
+    assert all(got[i].n_links == 0 and got[i].kept for i in range(460, 760))
+
+
+def test_large_and_null_vector_ids(spark):
+    rows = [(2**60 + 1, [1.0, 2.0]), (None, [2.0, 4.0]), (None, [5.0, -1.0]), (None, None), (7, [1.0, 2.1]), (7, [-3.0, 1.0])]
+    got = sorted(map(tuple, near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), key=str)
+    assert got == sorted([(2**60 + 1, 2, 7, False), (None, 2, 7, False), (None, 0, None, False), (None, 0, None, False), (7, 2, 7, True), (7, 0, 7, True)], key=str)
+
+
 def test_list_decoding_is_whole():
     """All filters above the height, by comparing every one of them."""
     code = ProductCode(12, 4, per_vector=8)
