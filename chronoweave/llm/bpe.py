@@ -4,38 +4,43 @@
    equal chunks wherever they stand.  Each seam is checked: the words beside it, encoded
    together, must give what they give apart; where they don't, the cut is undone and the
    check repeated, until all seams agree.  Joined ids are then exact.
-2. Chunk hashes are counted over all documents.  Those seen in two or more places go to a
-   fixed-size Bloom filter, which is broadcast.
+2. Chunk hashes (128 bits) are counted over all documents.  Those seen in two or more
+   places go to a filter, which is broadcast; its size follows their number up to 32 MB.
 3. Documents are read again.  Chunks outside the filter are encoded in place, and a
    document with no others is finished there.  Chunks in the filter are sent once each to
    be encoded once; their ids are joined back to the documents that hold them.
 A false hit in the filter sends a chunk the longer way and changes no result; were the
 filter full, all chunks would take it.
 
-Words repeat far more than chunks, so encoding itself goes pre-token by pre-token through
-a bounded table of known ones, filled by the tokenizers library.  That path is taken only
-for text whose characters it treats in a plain way (Latin-1 without other control
-characters or ``<|``); the library encodes the rest itself.
+The tokenizer file decides.  Where its normaliser, splitter and decoder are those of
+WORD_RULES, encoding goes pre-token by pre-token through a bounded table of known ones,
+filled by the tokenizers library; that path is taken only for text whose characters it
+treats in a plain way (Latin-1 without other control characters or added tokens).  With
+the byte-level splitter the library encodes the chunks.  With any other rules, of which
+nothing is known about white space, every text is one chunk and the library encodes and
+decodes it.
 
 Defined results: a null or empty text has no tokens; rows are encoded one by one, so a
-repeated id or row gives its own row.
+repeated id or row gives its own row, and a null id stays null; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bits
+from ._rows import batch, fields, lists, slices
 from ._store import save
 from ._text import BLOCK, _IS_WS, grams, words
 
@@ -54,34 +59,57 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The rules for which pre-tokens are told by _PIECES, and those of the byte-level splitter.
+WORD_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "decoder": None,
+}
+BYTE_RULES = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
+
+
+def _follows(spec: dict, rules: dict) -> bool:
+    """Whether a tokenizer file has these rules, a plain BPE model, and added tokens that are found in the raw text."""
+    model = spec["model"]
+    plain = model.get("type") == "BPE" and not model.get("dropout") and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
+    return plain and all(spec.get(k) == v for k, v in rules.items())
+
+
 class Encoder:
     """Exact ids of a text by the tokenizer file's own rules, with a bounded table of pre-tokens."""
 
-    def __init__(self, spec: str):
+    def __init__(self, text: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_str(spec)
+        self.tok = Tokenizer.from_str(text)
         self.tok.no_truncation()
         self.tok.no_padding()
+        spec = json.loads(text)
+        self.by_words = _follows(spec, WORD_RULES)
+        #: Whether no pre-token reaches from a word over white space into the next.
+        self.cuttable = self.by_words or _follows(spec, BYTE_RULES)
+        self.added = [t["content"] for t in spec["added_tokens"]]
         size = self.tok.get_vocab_size(with_added_tokens=True)
-        self.names = [self.tok.id_to_token(i) for i in range(size)]
+        self.names = [self.tok.id_to_token(i) for i in range(size)] if self.by_words else []
         #: Ids on their way between tasks take two bytes where the vocabulary allows it.
         self.sent = "<u2" if size <= 1 << 16 else "<u4"
         # per pre-token: its ids as bytes, and their text
         self.blobs: dict[str, bytes] = {}
         self.texts: dict[str, str] = {}
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids as little-endian uint32, and decode(ids, skip_special_tokens=False).
-
-        The file has no decoder, so decoding joins the tokens by spaces.
-        """
+    def encode(self, text: str) -> tuple[bytes, str | None]:
+        """Ids as little-endian uint32, and decode(ids, skip_special_tokens=False) where that is at hand."""
         if not text:
             return b"", ""
-        if not _PLAIN.fullmatch(text) or "<|" in text:
-            ids = self.tok.encode(text, add_special_tokens=False).ids
-            return _pack(ids), self.text(ids)
+        if not self.by_words or not _PLAIN.fullmatch(text) or any(t in text for t in self.added):
+            return _pack(self.tok.encode(text, add_special_tokens=False).ids), None
         pieces = _PIECES.findall(text.lower())
         new = set(pieces).difference(self.blobs)
         if new:
@@ -91,18 +119,15 @@ class Encoder:
                 new = set(pieces)
             new = list(new)
             for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-                self.blobs[p], self.texts[p] = _pack(e.ids), self.text(e.ids)
+                self.blobs[p], self.texts[p] = _pack(e.ids), " ".join([self.names[i] for i in e.ids])
         return b"".join(map(self.blobs.__getitem__, pieces)), " ".join(map(self.texts.__getitem__, pieces))
 
     def to_send(self, text: str) -> bytes:
         return np.frombuffer(self.encode(text)[0], "<u4").astype(self.sent).tobytes()
 
-    def received(self, blob: bytes) -> tuple[bytes, str]:
-        ids = np.frombuffer(blob, self.sent)
-        return ids.astype("<u4").tobytes(), self.text(ids.tolist())
-
-    def text(self, ids) -> str:
-        return " ".join([self.names[i] for i in ids])
+    def decode(self, ids: list[int]) -> str:
+        """Without a decoder in the file, tokens are joined by spaces."""
+        return " ".join([self.names[i] for i in ids]) if self.by_words else self.tok.decode(ids, skip_special_tokens=False)
 
 
 def _encoder(spec: str) -> Encoder:
@@ -144,6 +169,8 @@ def _edge(text: str, last: bool) -> str:
 
 def chunks(text: str, enc: Encoder, every: int = CHUNK_WORDS) -> list[str]:
     """Content-defined chunks of a text whose ids, joined, are the ids of the text."""
+    if not enc.cuttable:
+        return [text] if text else []
     raw = text.encode()
     out, at = [], 0
     for cut in [*_cuts(raw, every), len(raw)]:
@@ -159,125 +186,157 @@ def _agrees(left: str, right: str, enc: Encoder) -> bool:
     """Whether the words beside a seam, encoded together, give what they give apart.
 
     A pre-token, an added token and a canonical composition never reach across white
-    space, so one word on each side decides; a seam of plain characters needs no encoding.
+    space, so one word on each side decides; with the word rules a seam of plain characters needs no encoding.
     """
     a, b = _edge(left, True), _edge(right, False)
     seam = right[: len(right) - len(right.lstrip())]
-    if seam and _PLAIN.fullmatch(a) and _PLAIN.fullmatch(b) and _PLAIN.fullmatch(seam):
+    if enc.by_words and seam and _PLAIN.fullmatch(a) and _PLAIN.fullmatch(b) and _PLAIN.fullmatch(seam):
         return True
-    return bool(seam) and enc.encode(a + seam + b)[0] == enc.encode(a)[0] + enc.encode(b)[0]
+    return bool(seam) and enc.encode(a + seam + b)[0] == enc.encode(a)[0] + enc.encode(seam + b)[0]
 
 
-def _hash(piece: str) -> int:
-    return int.from_bytes(hashlib.blake2b(piece.encode(), digest_size=8).digest(), "little", signed=True)
+def _hash(piece: str) -> tuple[int, int]:
+    """128 bits as two longs."""
+    d = hashlib.blake2b(piece.encode(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
 def _pack(ids) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
 
-_OUT = "row long, doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string"
-
-
-def _finished(row, doc_id, parts: Iterator[tuple[bytes, str]], keep: bool) -> tuple:
-    ids_hash, text_hash, n, kept = hashlib.sha256(), hashlib.sha256(), 0, []
-    for blob, text in parts:
-        if blob:
-            ids_hash.update(blob)
-            text_hash.update(((" " if n else "") + text).encode())
-            n += len(blob) // 4
-            if keep:
-                kept.append(blob)
-    return row, doc_id, n, b"".join(kept) if keep else None, ids_hash.hexdigest(), text_hash.hexdigest()
+def _digests(ids: bytes, text: str) -> tuple[int, str, str]:
+    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
 
-def bpe_encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, every: int = CHUNK_WORDS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_tokens, ids (binary of little-endian uint32, or null), ids_sha256, decoded_sha256.
+def _encoded(docs: DataFrame, vocabulary: str | None, id_col: str, text_col: str, every: int):
+    """What both forms of the result are made from: the broadcast file, finished rows, and the parts of the others.
 
-    ``vocabulary`` is the path of a tokenizer file on the driver; its text is broadcast.
+    Finished rows have doc_id, ids and digests; parts have row, doc_id, k and ids, dealt by
+    row and in order of k.  Ids are binary, in the encoder's ``sent`` width.
     """
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(open(vocabulary or default_path(), encoding="utf-8").read())
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    key = fields("h1 long, h2 long")
 
     def hashes(batches):
         enc = _encoder(spec.value)
-        for pdf in batches:
-            yield pd.DataFrame({"h": np.array([_hash(c) for t in pdf.text if isinstance(t, str) for c in chunks(t, enc, every)], np.int64)})
+        for b in slices(batches):
+            found = [_hash(c) for t in b.column("text").to_pylist() if t for c in chunks(t, enc, every)]
+            two = np.array(found, np.int64).reshape(-1, 2)
+            yield batch({"h1": two[:, 0], "h2": two[:, 1]}, key)
 
-    shared = docs.mapInPandas(hashes, "h long").groupBy("h").count().where("count > 1").select("h")
-    table = spark.sparkContext.broadcast(_bits.key_filter(shared, "h", 1 << 25))
+    shared = save(docs.mapInArrow(hashes, key).groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"))
+    table = spark.sparkContext.broadcast(_bits.key_filter(shared, "h1", _bits.room(shared.count())))
+    out = fields("kind int, row long, doc_id long, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string, k int, h1 long, h2 long, piece string")
 
     def first(batches):
-        enc, context, made, sent = _encoder(spec.value), TaskContext.get(), 0, set()
-        for pdf in batches:
-            for at in range(0, len(pdf), 512):
-                done, waits, pieces = [], [], []
-                for doc_id, text in zip(pdf.doc_id.iloc[at : at + 512].astype("Int64"), pdf.text.iloc[at : at + 512]):
-                    row, made = context.partitionId() << 40 | made, made + 1
-                    doc_id = None if doc_id is pd.NA else int(doc_id)
-                    own = chunks(text, enc, every) if isinstance(text, str) else []
-                    keys = np.array([_hash(c) for c in own], np.int64)
-                    hit = _bits.maybe(keys, table.value) if len(keys) else np.zeros(0, bool)
-                    # runs of unshared chunks are one piece of the document
-                    runs = [(h, list(g)) for h, g in groupby(range(len(own)), hit.__getitem__)]
-                    if not hit.any():
-                        done.append(_finished(row, doc_id, [enc.encode("".join(own))], keep_ids))
+        """kind 0: a finished row; 1: a part of a row, its ids or a shared chunk's hash; 2: a shared chunk."""
+        enc, made, sent = _encoder(spec.value), TaskContext.get().partitionId() << 40, set()
+        for b in slices(batches, 256):
+            rows = []
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                row, made = made, made + 1
+                own = chunks(text, enc, every) if text else []
+                keys = [_hash(c) for c in own]
+                hit = _bits.maybe(np.array([h for h, _ in keys], np.int64), table.value) if keys else np.zeros(0, bool)
+                if not hit.any():
+                    ids, said = enc.encode(text or "")
+                    said = enc.decode(np.frombuffer(ids, "<u4").tolist()) if said is None else said
+                    rows.append((0, row, doc_id, np.frombuffer(ids, "<u4").astype(enc.sent).tobytes(), *_digests(ids, said), None, None, None, None))
+                    continue
+                for h, run in groupby(range(len(own)), hit.__getitem__):  # runs of unshared chunks are one part
+                    run = list(run)
+                    if not h:
+                        rows.append((1, row, doc_id, enc.to_send("".join(own[run[0] : run[-1] + 1])), None, None, None, run[0], None, None, None))
                         continue
-                    for h, run in runs:
-                        if not h:
-                            waits.append((row, doc_id, run[0], None, enc.to_send("".join(own[run[0] : run[-1] + 1]))))
-                            continue
-                        for k in run:
-                            waits.append((row, doc_id, k, int(keys[k]), None))
-                            if keys[k] not in sent:
-                                sent.add(keys[k])
-                                pieces.append((int(keys[k]), own[k]))
-                if len(sent) > 100_000:
-                    sent.clear()
-                out = [pd.DataFrame(done, columns=["row", "doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]).assign(kind=0)]
-                out += [pd.DataFrame(waits, columns=["row", "doc_id", "k", "h", "ids"], dtype=object).assign(kind=1), pd.DataFrame(pieces, columns=["h", "piece"], dtype=object).assign(kind=2)]
-                yield pd.concat(out)[["kind", "row", "doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256", "k", "h", "piece"]].astype({c: "Int64" for c in ("row", "doc_id", "n_tokens", "k", "h")})
-
-    sent = save(docs.mapInPandas(first, f"kind int, {_OUT}, k long, h long, piece string"))
+                    for k in run:
+                        rows.append((1, row, doc_id, None, None, None, None, k, *keys[k], None))
+                        if keys[k] not in sent:
+                            sent.add(keys[k])
+                            rows.append((2, None, None, None, None, None, None, None, *keys[k], own[k]))
+            if len(sent) > 100_000:
+                sent.clear()
+            yield batch(dict(zip(out.names, zip(*rows))), out)
+
+    sent = save(docs.mapInArrow(first, out))
+    coded = fields("h1 long, h2 long, shared binary")
 
     def encode(batches):
         enc = _encoder(spec.value)
-        for pdf in batches:
-            yield pd.DataFrame({"h": pdf.h, "shared": [enc.to_send(p) for p in pdf.piece]})
+        for b in slices(batches):
+            yield batch({"h1": b.column("h1"), "h2": b.column("h2"), "shared": [enc.to_send(p) for p in b.column("piece").to_pylist()]}, coded)
 
-    once = save(sent.where("kind = 2").select("h", "piece").dropDuplicates(["h"]).mapInPandas(encode, "h long, shared binary"))
-    waits = sent.where("kind = 1").select("row", "doc_id", "k", "h", "ids")
-    refs = waits.where("h is not null").drop("ids").join(once, "h").select("row", "doc_id", "k", F.col("shared").alias("ids"))
-    whole = refs.unionByName(waits.where("h is null").select("row", "doc_id", "k", "ids")).repartition("row").sortWithinPartitions("row", "k")
+    once = save(sent.where("kind = 2").select("h1", "h2", "piece").dropDuplicates(["h1", "h2"]).mapInArrow(encode, coded))
+    waits = sent.where("kind = 1").select("row", "doc_id", "k", "h1", "h2", "ids")
+    refs = waits.where("h1 is not null").drop("ids").join(once, ["h1", "h2"]).select("row", "doc_id", "k", F.col("shared").alias("ids"))
+    whole = refs.unionByName(waits.where("h1 is null").select("row", "doc_id", "k", "ids")).repartition("row").sortWithinPartitions("row", "k")
+    return spec, sent.where("kind = 0"), whole
+
+
+def _joined(batches) -> Iterator[tuple[int | None, bytes]]:
+    """(doc_id, ids) of each row from its parts in order."""
+    now, doc, held = None, None, []
+    for b in slices(batches):
+        for row, doc_id, ids in zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "ids"))):
+            if row != now:
+                if now is not None:
+                    yield doc, b"".join(held)
+                now, doc, held = row, doc_id, []
+            held.append(ids)
+    if now is not None:
+        yield doc, b"".join(held)
+
+
+def bpe_encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", every: int = CHUNK_WORDS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_tokens, ids_sha256 and decoded_sha256.
+
+    ``vocabulary`` is the path of a tokenizer file on the driver; its text is broadcast.
+    """
+    spec, done, parts = _encoded(docs, vocabulary, id_col, text_col, every)
+    out = fields("doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
     def assemble(batches):
-        enc, now, doc, held = _encoder(spec.value), None, None, []
-        cols = ["row", "doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
-        fix = lambda rows: pd.DataFrame(rows, columns=cols).astype({"doc_id": "Int64"})
-        end = lambda: _finished(now, doc, map(enc.received, held), keep_ids)
-        for pdf in batches:
-            rows = []
-            for row, d, ids in zip(pdf.row, pdf.doc_id.astype("Int64"), pdf.ids):
-                if row != now:
-                    if now is not None:
-                        rows.append(end())
-                    now, doc, held = row, None if d is pd.NA else int(d), []
-                held.append(ids)
-            yield fix(rows)
-        if now is not None:
-            yield fix([end()])
+        enc, rows = _encoder(spec.value), []
+        for doc_id, sent in _joined(batches):
+            ids = np.frombuffer(sent, enc.sent)
+            rows.append((doc_id, *_digests(ids.astype("<u4").tobytes(), enc.decode(ids.tolist()))))
+            if len(rows) == 1024:
+                yield batch(dict(zip(out.names, zip(*rows))), out)
+                rows = []
+        if rows:
+            yield batch(dict(zip(out.names, zip(*rows))), out)
 
-    cols = ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
-    return sent.where("kind = 0").select(*cols).unionByName(whole.mapInPandas(assemble, _OUT).select(*cols))
+    return done.select(*out.names).unionByName(parts.mapInArrow(assemble, out))
 
 
-def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and token ids (array of int) of each row."""
-    out = bpe_encode(docs, vocabulary, keep_ids=True)
+#: Ids that a task holds before it gives them on.
+HELD_IDS = 1 << 19
 
-    def unpack(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64"), "n_tokens": pdf.n_tokens, "ids": [np.frombuffer(b, "<u4").astype(np.int32) for b in pdf.ids]})
 
-    return out.select("doc_id", "n_tokens", "ids").mapInPandas(unpack, "doc_id long, n_tokens long, ids array<int>")
+def encode_documents(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", every: int = CHUNK_WORDS) -> DataFrame:
+    """doc_id, n_tokens and token ids (array of int) of each row."""
+    spec, done, parts = _encoded(docs, vocabulary, id_col, text_col, every)
+    wide = json.loads(spec.value)
+    size = max([*wide["model"]["vocab"].values(), *(t["id"] for t in wide["added_tokens"])]) + 1
+    width, out = "<u2" if size <= 1 << 16 else "<u4", fields("doc_id long, n_tokens long, ids array<int>")
+
+    def told(rows):
+        ids = [np.frombuffer(x, width) for _, x in rows]
+        return batch({"doc_id": [d for d, _ in rows], "n_tokens": [len(x) for x in ids], "ids": lists(ids, pa.int32())}, out)
+
+    def unpack(rows):
+        held, n = [], 0
+        for row in rows:
+            held.append(row)
+            n += len(row[1])
+            if n > HELD_IDS:
+                yield told(held)
+                held, n = [], 0
+        if held:
+            yield told(held)
+
+    finished = lambda batches: unpack(r for b in slices(batches) for r in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist()))
+    joined = lambda batches: unpack(_joined(batches))
+    return done.select("doc_id", "ids").mapInArrow(finished, out).unionByName(parts.mapInArrow(joined, out))

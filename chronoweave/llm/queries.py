@@ -51,7 +51,7 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_encode(_docs(spark, sf_dir)).drop("ids")
+    return bpe_encode(_docs(spark, sf_dir))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
