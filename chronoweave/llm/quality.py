@@ -6,7 +6,7 @@ rules by rejections per second and stops at the first that rejects.  The verdict
 conjunction of all rules, so it is the same for any order and any sample.
 Features are computed when a rule or the caller asks for them, once for each document.
 
-Defined results: a null text has no words; lines and words follow the ASCII white space
+Defined results: a null text has no words; ids of any size stay as they are; lines and words follow the ASCII white space
 of the package; rows are judged one by one, so repeats and ties keep their own rows.
 """
 
@@ -18,10 +18,10 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._rows import batch, extend, fields, slices
 from ._text import WS, _long, grams, words
 
 #: Rows of the sample by which rules are ordered.  It decides speed only.
@@ -123,54 +123,86 @@ RULES = (
 )
 
 
-def rejections_per_cost(texts: list, rules: tuple[Rule, ...] = RULES) -> list[tuple[float, str]]:
-    """(rejections per second, name) of each rule alone on a sample, best first."""
+def measured(texts: list, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, float, int]]:
+    """(name, seconds, rejections) of each rule alone on some texts."""
     out = []
     for r in rules:
         pages = [Page(t) for t in texts]
         began = time.perf_counter()
         hits = sum(r.rejects(p) for p in pages)
-        out.append(((hits + 1e-3) / (time.perf_counter() - began + 1e-9), r.name))
-    return sorted(out, reverse=True)
+        out.append((r.name, time.perf_counter() - began, hits))
+    return out
+
+
+def rejections_per_cost(found: list[tuple[str, float, int]]) -> list[str]:
+    """Names of rules by rejections per second, best first."""
+    return [name for _, name in sorted((((hits + 1e-3) / (seconds + 1e-9)), name) for name, seconds, hits in found)[::-1]]
 
 
 def ordered(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """``rules`` in cascade order, by a sample of at most ``sample_rows`` rows."""
-    texts = [r[0] for r in docs.select(text_col).sample(0.2, seed=7).limit(sample_rows).collect()]
+    """``rules`` in cascade order, by a sample of at most ``sample_rows`` rows.
+
+    The sample is measured where it lies; only a row for each rule reaches the driver.
+    """
+    out = fields("name string, seconds double, hits long")
+
+    def measure(batches):
+        for b in slices(batches, 64):
+            rows = measured(b.column("text").to_pylist(), rules)
+            yield batch(dict(zip(out.names, zip(*rows))), out)
+
+    sample = docs.select(F.col(text_col).alias("text")).sample(0.2, seed=7).limit(sample_rows)
+    found = sample.mapInArrow(measure, out).groupBy("name").agg(F.sum("seconds").alias("seconds"), F.sum("hits").alias("hits")).collect()
     by = {r.name: r for r in rules}
-    return tuple(by[name] for _, name in rejections_per_cost(texts, rules)) if texts else rules
+    return tuple(by[name] for name in rejections_per_cost([tuple(r) for r in found])) if found else rules
+
+
+def stopped_at(page: Page, rules: tuple[Rule, ...]) -> int | None:
+    """The place of the first rule that rejects; later ones are not evaluated."""
+    return next((k for k, r in enumerate(rules) if r.rejects(page)), None)
 
 
 def keeps(page: Page, rules: tuple[Rule, ...]) -> bool:
-    return not any(r.rejects(page) for r in rules)
+    return stopped_at(page, rules) is None
 
 
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def quality_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, the metrics, base_failed and kept."""
+def quality_cascade(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] | None = None, metrics: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, kept, stopped_by (the rule that rejected, or null) and rules_run.
+
+    With ``metrics`` the base metrics and base_failed follow.  A document that a rule
+    rejects costs only the features of the rules up to that one, and of the metrics asked for.
+    """
     rules = rules or ordered(docs, text_col)
 
-    def judge(batches):
-        for pdf in batches:
-            pages = [Page(t) for t in pdf.text]
-            out = pd.DataFrame({m: [getattr(p, m) for p in pages] for m in METRICS}, dtype="int64")
-            out.insert(0, "doc_id", pdf.doc_id.astype("Int64").to_numpy())
-            out["base_failed"] = np.array([p.base_failed for p in pages], bool)
-            out["kept"] = np.array([not p.base_failed and keeps(p, rules) for p in pages], bool)
-            yield out
+    def judge(texts):
+        out = {"kept": [], "stopped_by": [], "rules_run": []} | ({m: [] for m in (*METRICS, "base_failed")} if metrics else {})
+        for t in texts:
+            page = Page(t)
+            at = stopped_at(page, rules)
+            out["kept"].append(at is None)
+            out["stopped_by"].append(None if at is None else rules[at].name)
+            out["rules_run"].append(len(rules) if at is None else at + 1)
+            for m in (*METRICS, "base_failed") if metrics else ():
+                out[m].append(getattr(page, m))
+        return out
 
-    fields = ", ".join(f"{m} long" for m in METRICS)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(judge, f"doc_id long, {fields}, base_failed boolean, kept boolean")
+    made = "kept boolean, stopped_by string, rules_run int" + (", " + ", ".join(f"{m} long" for m in METRICS) + ", base_failed boolean" if metrics else "")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return extend(slim, ["text"], judge, made, ["doc_id"])
 
 
-def quality_filter(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] | None = None) -> DataFrame:
-    """The rows of ``docs`` that no rule rejects, with all their columns."""
-    rules = rules or ordered(docs, text_col)
+def quality_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, the metrics, base_failed and kept.
 
-    def sift(batches):
-        for pdf in batches:
-            yield pdf[[keeps(Page(t), rules) for t in pdf[text_col]]] if len(pdf) else pdf
+    The base rule is among RULES, so that its failures are not kept whatever ``rules`` are given.
+    """
+    return quality_cascade(docs, id_col, text_col, rules, metrics=True).select("doc_id", *METRICS, "base_failed", (F.col("kept") & ~F.col("base_failed")).alias("kept"))
 
-    return docs.mapInPandas(sift, docs.schema)
+
+def quality_filter(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] | None = None) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, with all their columns as they are."""
+    rules = rules or ordered(docs, text_col)
+    return extend(docs, [text_col], lambda texts: {"__keep": [keeps(Page(t), rules) for t in texts]}, "", docs.columns)
