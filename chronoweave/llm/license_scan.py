@@ -6,7 +6,7 @@ templates by sparse TF-IDF cosine, so a notice is found wherever it stands.  Doc
 frequencies are counted over all blocks and passages of all files; only those of template
 words are kept, so their number has a bound, and other words take the weight of a word seen
 once.  A notice that names its licence must hold the name's words: short windows that
-differ in the name alone come near each other.
+differ in the name alone come near each other.  Tags of source files are templates too.
 A file's licence is that of its best block or window.  A file without one takes that of the
 nearest ancestor directory, its own first, that holds a licence file: one named like a
 licence, or of whose words at least a fifth stand in a block or window of that licence.
@@ -26,10 +26,10 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._rows import extend
 from ._store import join_small, save
 
 _COPIES = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
@@ -79,8 +79,11 @@ TEMPLATES = {
     "MPL-2.0 header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
     "MPL-2.0 text": "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.",
 }
+TEMPLATES["BSD-3-Clause text"] = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+#: Tags of source files, for each licence and the forms of its name.
+TAGS = {f"{name}{form} tag": f"SPDX-License-Identifier: {name}{form}" for name in dict.fromkeys(n.partition(" ")[0] for n in TEMPLATES if n.partition(" ")[0] != "BSD") for form in (("", "-only", "-or-later") if "GPL" in name else ("",))}
 #: What a licence block holds, and how licence files are named.
-CUE = re.compile(r"licen[sc]e|permission\W+is\W+hereby\W+granted|permission\W+to\W+use|redistribution\W+and\W+use|public\W+domain|creative\W+commons")
+CUE = re.compile(r"licen[sc]e|neither\W+the\W+name|permission\W+is\W+hereby\W+granted|permission\W+to\W+use|redistribution\W+and\W+use|public\W+domain|creative\W+commons")
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|unlicense)([._-].*)?$"
 #: A dot inside a word stands before a digit, so that a word glued to the end of a sentence is its own.
 _WORD = re.compile(r"[a-z0-9]+(?:-[a-z0-9]+|\.[0-9]+)*")
@@ -95,6 +98,7 @@ NAMES = {
     "CC-BY-4.0 header": ("attribution",), "CC-BY-4.0 text": ("attribution",), "CC-BY-NC-4.0 header": ("attribution-noncommercial",), "CC-BY-NC-4.0 text": ("attribution-noncommercial",),
     "CC-BY-SA-4.0 header": ("attribution-sharealike",), "CC-BY-SA-4.0 text": ("attribution-sharealike",),
 }
+NAMES |= {name: tuple(t.lower().split()[1:]) for name, t in TAGS.items()}
 #: Words of another licence's name, which a block or window must not hold.
 OTHERS = {name: ("lesser", "affero") for name in TEMPLATES if name.startswith("GPL")}
 #: Longer blocks than any template are not compared as wholes; their windows are.
@@ -103,7 +107,10 @@ THRESHOLD = 0.8
 
 
 def license_of(template: str) -> str:
-    return "BSD-3-Clause" if template == "BSD header" else template.removesuffix(" header").removesuffix(" text")
+    """The licence of a template; the conditions that both BSD licences begin with are the shorter one's."""
+    if template.endswith(" tag"):
+        return template.removesuffix(" tag").removesuffix("-only").removesuffix("-or-later")
+    return "BSD-2-Clause" if template == "BSD header" else template.removesuffix(" header").removesuffix(" text")
 
 
 def terms(text: str) -> list[str]:
@@ -173,7 +180,7 @@ def weights(words: list[str], idf: dict[str, float], rare: float) -> dict[str, f
 def inverse_frequencies(df: dict[str, int], n: int) -> tuple[dict[str, float], float]:
     """Smoothed idf of template words, and that of any other word."""
     of = lambda k: math.log((1 + n) / (1 + k)) + 1
-    return {w: of(df.get(w, 0)) for t in TEMPLATES.values() for w in terms(t)}, of(1)
+    return {w: of(df.get(w, 0)) for t in (*TEMPLATES.values(), *TAGS.values()) for w in terms(t)}, of(1)
 
 
 def cosine(words: list[str], name: str, template: dict[str, float], idf: dict[str, float], rare: float) -> float:
@@ -190,7 +197,7 @@ def best_template(words: list[str], vectors: dict[str, dict[str, float]], idf: d
     return min(((_cosine(v, name, t), name) for name, t in vectors.items()), key=lambda s: (-s[0], s[1]))
 
 
-LENGTHS = {name: len(terms(t)) for name, t in TEMPLATES.items()}
+LENGTHS = {name: len(terms(t)) for name, t in (TEMPLATES | TAGS).items()}
 
 
 def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -198,36 +205,34 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     spark = files.sparkSession
     keep = [c for c in files.columns if c not in (text_col, "license", "score", "inherited_from")]
 
-    def extract(batches):
-        for pdf in batches:
-            found = [blocks(t) if isinstance(t, str) else [] for t in pdf["__lic_text"]]
-            around = [passages(t) if isinstance(t, str) else [] for t in pdf["__lic_text"]]
-            out = pdf.drop(columns="__lic_text")
-            yield out.assign(__lic_blocks=found, __lic_passages=around, __lic_words=[len(t.split()) if b else 0 for t, b in zip(pdf["__lic_text"], around)])
+    def extract(texts):
+        around = [passages(t or "") for t in texts]
+        return {"__lic_blocks": [blocks(t or "") for t in texts], "__lic_passages": around, "__lic_words": [len(t.split()) if b else 0 for t, b in zip(texts, around)]}
 
-    slim = files.select(*keep, F.col(text_col).alias("__lic_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "__lic_text")
-    rows = save(slim.mapInPandas(extract, f"{fields}, __lic_blocks array<string>, __lic_passages array<string>, __lic_words int"))
+    slim = files.select(*[f"`{c}`" for c in keep], F.col(text_col).alias("__lic_text"))
+    rows = save(extend(slim, ["__lic_text"], extract, "__lic_blocks array<string>, __lic_passages array<string>, __lic_words int", keep))
 
-    vocabulary = sorted({w for t in TEMPLATES.values() for w in terms(t)})
+    vocabulary = sorted({w for t in (*TEMPLATES.values(), *TAGS.values()) for w in terms(t)})
     each = rows.select(F.explode(F.concat("__lic_blocks", "__lic_passages")).alias("b"))
     seen = each.select(F.explode(F.array_distinct(F.regexp_extract_all("b", F.lit(_WORD.pattern), F.lit(0)))).alias("w"))
     counted = seen.where(F.col("w").isin(vocabulary)).groupBy("w").count().collect()  # as many rows as template words
     idf, rare = inverse_frequencies({r.w: r["count"] for r in counted}, each.count())
-    vectors = {name: weights(terms(t), idf, rare) for name, t in TEMPLATES.items()}
-
-    def judge(batches):
-        for pdf in batches:
-            best = []
-            for found, around, n in zip(pdf["__lic_blocks"], pdf["__lic_passages"], pdf["__lic_words"]):
-                hits = [(*best_template(terms(b), vectors, idf, rare), len(b.split())) for b in found]
-                hits += [h for p in around for h in best_windows(p.split(), vectors, idf, rare, threshold)]
-                top = min((h for h in hits if h[0] >= threshold), key=lambda s: (-s[0], s[1]), default=None)
-                most = max((h[2] for h in hits if top and h[0] >= threshold and license_of(h[1]) == license_of(top[1])), default=0)
-                best.append((license_of(top[1]), top[0], 5 * most >= n) if top else (None, None, False))
-            yield pdf.drop(columns=["__lic_blocks", "__lic_passages", "__lic_words"]).assign(license=[b[0] for b in best], score=[b[1] for b in best], __lic_notice=[b[2] for b in best])
-
-    own = save(rows.mapInPandas(judge, f"{fields}, license string, score double, __lic_notice boolean"))
+    vectors = {name: weights(terms(t), idf, rare) for name, t in (TEMPLATES | TAGS).items()}
+
+    def judge(blocks_of, passages_of, words_of):
+        best = []
+        for found, around, n in zip(blocks_of, passages_of, words_of):
+            hits = [(*best_template(terms(b), vectors, idf, rare), len(b.split())) for b in found]
+            hits += [h for p in around for h in best_windows(p.split(), vectors, idf, rare, threshold)]
+            top = min((h for h in hits if h[0] >= threshold), key=lambda s: (-s[0], s[1]), default=None)
+            most = max((h[2] for h in hits if top and h[0] >= threshold and license_of(h[1]) == license_of(top[1])), default=0)
+            name = license_of(top[1]) if top else None
+            if name == "BSD-2-Clause" and any(h[1] == "BSD-3-Clause text" and h[0] >= threshold for h in hits):
+                name = "BSD-3-Clause"
+            best.append((name, top[0], 5 * most >= n) if top else (None, None, False))
+        return dict(zip(("license", "score", "__lic_notice"), zip(*best)))
+
+    own = save(extend(rows, ["__lic_blocks", "__lic_passages", "__lic_words"], judge, "license string, score double, __lic_notice boolean", keep))
     own = own.withColumn("__lic_dir", F.regexp_extract(path_col, r"(?s)^(.*)/[^/]*$", 1)).withColumn("__lic_dir", F.when(F.col(path_col).isNull(), F.lit(None)).otherwise(F.col("__lic_dir")))
     named = F.regexp_extract(path_col, r"([^/]*)$", 1).rlike(LICENCE_FILE)
     held = own.where(F.col("license").isNotNull() & F.col("__lic_dir").isNotNull() & (F.col("__lic_notice") | named)).groupBy("__lic_dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("h"))

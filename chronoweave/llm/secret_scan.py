@@ -23,10 +23,11 @@ import re
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._rows import extend
+
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -194,21 +195,17 @@ def _told(spans) -> str:
 
 
 def secret_scan(docs: DataFrame, model: MarkovRatio | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id and spans, an array of (start, end, kind), with n_base pattern spans."""
+    """One row per row of ``docs``: doc_id, n_assign, n_access and n_hex (pattern spans by kind), base_sha256 (their digest) and spans, all spans as kind:start:end."""
     model = model or MarkovRatio(labelled_samples())
     shared = docs.sparkSession.sparkContext.broadcast(model.plain())
 
-    def scan(batches):
-        for pdf in batches:
-            rows = [all_spans(t if isinstance(t, str) else "", *shared.value) for t in pdf.text]
-            counts = {f"n_{k}": [sum(s[2] == k for s in b) for b, _ in rows] for k in KINDS[:3]}
-            out = pd.DataFrame(counts, dtype="int64")
-            out.insert(0, "doc_id", pdf.doc_id.astype("Int64").to_numpy())
-            out["base_sha256"] = [hashlib.sha256(_told(b).encode()).hexdigest() for b, _ in rows]
-            out["spans"] = [_told(s) for _, s in rows]
-            yield out
+    def scan(texts):
+        rows = [all_spans(t or "", *shared.value) for t in texts]
+        out = {f"n_{k}": [sum(s[2] == k for s in b) for b, _ in rows] for k in KINDS[:3]}
+        return out | {"base_sha256": [hashlib.sha256(_told(b).encode()).hexdigest() for b, _ in rows], "spans": [_told(s) for _, s in rows]}
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return extend(slim, ["text"], scan, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string", ["doc_id"])
 
 
 def redact_secrets(docs: DataFrame, model: MarkovRatio | None = None, text_col: str = "text", mark: str = "[SECRET]", size_col: str = "n_chars") -> DataFrame:
@@ -217,21 +214,19 @@ def redact_secrets(docs: DataFrame, model: MarkovRatio | None = None, text_col:
     shared = docs.sparkSession.sparkContext.broadcast(model.plain())
 
     def hide(text):
-        if not isinstance(text, str):
-            return text
+        if not text:
+            return None
         out, at = [], 0
         for a, b, _ in all_spans(text, *shared.value)[1]:
             if b > at:
                 out += [text[at:a], mark] if a >= at else []
                 at = b
-        return "".join([*out, text[at:]])
-
-    def change(batches):
-        for pdf in batches:
-            new = pdf[text_col].map(hide)
-            if size_col in pdf.columns:
-                moved = [isinstance(x, str) and x != y for x, y in zip(new, pdf[text_col])]
-                pdf.loc[moved, size_col] = new[moved].str.len()
-            yield pdf.assign(**{text_col: new})
-
-    return docs.mapInPandas(change, docs.schema)
+        return "".join([*out, text[at:]]) if out else None
+
+    # only the changed texts come back from Python; all columns else keep their values
+    found = extend(docs, [text_col], lambda texts: {"__redacted": [hide(t) for t in texts]}, "__redacted string", docs.columns)
+    changed = F.col("__redacted")
+    new = {text_col: F.coalesce(changed, F.col(text_col))}
+    if size_col in docs.columns:
+        new[size_col] = F.when(changed.isNull(), F.col(size_col)).otherwise(F.length(changed)).cast(docs.schema[size_col].dataType)
+    return found.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])

@@ -17,11 +17,11 @@ from __future__ import annotations
 
 import bisect
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._rows import batch, fields, slices
 from ._store import parts
 
 #: Sampled keys by which ranges are drawn.
@@ -51,7 +51,7 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", ur
     """
     spark = pages.sparkSession
     host, path = split_url(url_col)
-    base = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("key", host_key(F.col("host")).cast("binary"))
+    base = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("key", host_key(F.col("host")).cast("binary")).withColumn("spread", F.xxhash64("page_id", "path"))
     n = parts(spark)
     sample = base.select("key").sample(min(1.0, SAMPLE_KEYS / max(1, pages.count())), seed=5).limit(2 * SAMPLE_KEYS).collect()
     keys = sorted(bytes(r.key) for r in sample)
@@ -60,48 +60,47 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", ur
     def ranges(low: bytes, high: bytes) -> tuple[int, int]:
         return bisect.bisect_left(bounds, low), bisect.bisect_right(bounds, high)
 
+    id_type = base.schema["page_id"].dataType.simpleString()
+    dealt = fields(f"range int, key binary, kind tinyint, spread long, page_id {id_type}, host string, path string, verdict string")
+
     def place(batches):
-        for pdf in batches:
-            spans = [ranges(k, k) for k in pdf.key]
-            at = [a + _spread(i, b - a + 1) for (a, b), i in zip(spans, pdf.page_id)]
-            yield pdf.assign(range=np.array(at, "int32"), kind=np.int8(1), verdict=None)[_COLS]
+        for b in slices(batches):
+            spans = [ranges(k, k) for k in b.column("key").to_pylist()]
+            at = [a + s % (z - a + 1) for (a, z), s in zip(spans, b.column("spread").to_pylist())]
+            own = {c: b.column(c) for c in ("key", "spread", "page_id", "host", "path")}
+            yield batch(own | {"range": at, "kind": [1] * len(at), "verdict": [None] * len(at)}, dealt)
 
     def copy(batches):
-        for pdf in batches:
-            out = []
-            for h, p, v in zip(pdf.host, pdf.path, pdf.verdict):
+        for b in batches:
+            rows = []
+            for h, p, v in zip(*(b.column(c).to_pylist() for c in ("host", "path", "verdict"))):
                 k = b"".join(x.encode() + b"\0" for x in reversed(h.split(".")))
-                a, b = ranges(k, k + b"\xff")
-                out += [(r, k, 0, None, h, p, v) for r in range(a, b + 1)]
-            yield pd.DataFrame(out, columns=_COLS)
+                a, z = ranges(k, k + b"\xff")
+                rows += [(r, k, 0, 0, None, h, p, v) for r in range(a, z + 1)]
+            yield batch(dict(zip(dealt.names, zip(*rows))) if rows else dict.fromkeys(dealt.names, []), dealt)
 
-    id_type = base.schema["page_id"].dataType.simpleString()
-    schema = f"range int, key binary, kind tinyint, page_id {id_type}, host string, path string, verdict string"
-    both = base.mapInPandas(place, schema).unionByName(rules.select("host", "path", "verdict").mapInPandas(copy, schema))
+    both = base.mapInArrow(place, dealt).unionByName(rules.select("host", "path", "verdict").mapInArrow(copy, dealt))
+    out = fields(f"page_id {id_type}, host string, path string, rule string, verdict string")
 
     def sweep(batches):
         stack, now = [], None
-        for pdf in batches:
-            out = []
-            for r, key, kind, i, h, p, v in zip(*(pdf[c] for c in _COLS)):
+        for b in slices(batches):
+            names, verdicts, pages = [], [], []
+            for r, key, kind, h, p, v in zip(*(b.column(c).to_pylist() for c in ("range", "key", "kind", "host", "path", "verdict"))):
                 if r != now:
                     stack, now = [], r
                 while stack and not key.startswith(stack[-1][0]):
                     stack.pop()
+                pages.append(kind == 1)
                 if kind == 0:
                     stack.append((key, h, p, v))
-                    continue
-                best = max(((len(x[1]) + len(x[2]), len(x[1]), x[3] == "block", x) for x in stack if p.startswith(x[2])), default=None, key=lambda t: t[:3])
-                out.append((i, h, p, best[3][1] + best[3][2] if best else None, best[3][3] if best else default))
-            yield pd.DataFrame(out, columns=["page_id", "host", "path", "rule", "verdict"])
-
-    dealt = both.repartition(n, "range").sortWithinPartitions("range", "key", "kind")
-    return dealt.mapInPandas(sweep, f"page_id {id_type}, host string, path string, rule string, verdict string")
-
-
-_COLS = ["range", "key", "kind", "page_id", "host", "path", "verdict"]
-
-
-def _spread(i, n: int) -> int:
-    """A fixed choice among ``n`` by id."""
-    return 0 if n == 1 or i is None or i != i else int(i) * 0x9E3779B1 % (1 << 32) * n >> 32
+                    best = None
+                else:
+                    best = max(((len(x[1]) + len(x[2]), len(x[1]), x[3] == "block", x) for x in stack if p.startswith(x[2])), default=None, key=lambda t: t[:3])
+                names.append(best[3][1] + best[3][2] if best else None)
+                verdicts.append(best[3][3] if best else default)
+            own = {c: b.column(c) for c in ("page_id", "host", "path")}
+            yield batch(own | {"rule": names, "verdict": verdicts}, out).filter(pa.array(pages, pa.bool_()))
+
+    # ranged by the range's number, so that ranges and tasks are dealt out one to one
+    return both.repartitionByRange(n, "range").sortWithinPartitions("range", "key", "kind").mapInArrow(sweep, out)

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ pytest.importorskip("chronoweave.llm")
 from chronoweave.llm import license_scan as lic  # noqa: E402
 from chronoweave.llm import pii_surrogates as pii  # noqa: E402
 from chronoweave.llm.mixing import mix_sources, mixed  # noqa: E402
-from chronoweave.llm.sharding import best_fit_decreasing, pack, shard_documents  # noqa: E402
+from chronoweave.llm.sharding import Tree, best_fit_decreasing, pack, shard_documents  # noqa: E402
 from chronoweave.llm.url_filters import url_verdicts  # noqa: E402
 
 
@@ -65,19 +66,57 @@ def test_mix_of_few_and_none(spark):
     assert [r.target for r in one] == [9.0, 9.0] and sum(r.taken for r in one) in (6, 9, 12)
 
 
+def classes(sizes):
+    return sorted(Counter(sizes).items(), reverse=True)
+
+
+def bins_of(runs):
+    return [b for _, first, last, b in runs for _ in range(last - first)]
+
+
 def test_best_fit_takes_the_tightest_bin():
-    assert best_fit_decreasing([6, 5, 4, 3, 2], 10) == [0, 1, 0, 1, 1]
+    assert bins_of(best_fit_decreasing(classes([6, 5, 4, 3, 2]), 10)) == [0, 1, 0, 1, 1]
     rng = random.Random(6)
-    for n in (0, 1, 5, 300):
-        sizes = sorted((rng.randint(1, 1000) for _ in range(n)), reverse=True)
-        bins, cap = best_fit_decreasing(sizes, 1500), 1500
+    for n, most in ((0, 9), (1, 9), (5, 1000), (300, 1000), (3000, 40)):
+        sizes = sorted((rng.randint(1, most) for _ in range(n)), reverse=True)
+        runs, cap = best_fit_decreasing(classes(sizes), 1500), 1500
+        assert all(first < last for _, first, last, _ in runs)
         free = {}
-        for s, b in zip(sizes, bins):  # brute force: the least remaining room that holds the item
+        for s, b in zip(sizes, bins_of(runs)):  # brute force, group by group: the least remaining room that holds it
             fits = [(room, k) for k, room in free.items() if room >= s]
             assert b == (min(fits)[1] if fits else len(free))
             free[b] = free.get(b, cap) - s
-    loads = np.bincount(pack(sizes, 24), sizes)
-    assert len(loads) == 24 and loads.max() - loads.min() < 0.1 * loads.mean()
+    loads = np.bincount(bins_of(pack(classes(sizes), 24)), sizes)
+    assert len(loads) == 24 and loads.max() - loads.min() <= 2
+    assert best_fit_decreasing(classes(sizes), 1500, 3) is None
+
+
+def test_tree_is_a_sorted_set():
+    rng, tree, want = random.Random(1), Tree(), []
+    for _ in range(3000):
+        if rng.random() < 0.6:
+            key = (rng.randint(0, 500), len(want) + rng.random())
+            tree.add(key)
+            want.append(key)
+        else:
+            low = (rng.randint(0, 500), -1)
+            key = min((k for k in want if k >= low), default=None)
+            assert tree.pop_least(low) == key
+            want = [k for k in want if k != key]
+    assert [k for leaf in tree.leaves for k in leaf] == sorted(want) and all(len(leaf) <= 64 for leaf in tree.leaves)
+
+
+def test_shards_are_those_of_brute_force(spark):
+    """Every group goes where best-fit-decreasing, group by group, puts one of its size."""
+    rng = random.Random(18)
+    texts = ["x" * rng.randint(0, 40) + str(i % 700) for i in range(1500)]
+    got = shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), shards=7).collect()
+    size = Counter()
+    for t in texts:
+        size[t] += len(t) + 8
+    want = Counter((s, b) for (s, first, last, b) in pack(classes(size.values()), 7) for _ in range(last - first))
+    home = {texts[r.doc_id]: r.shard for r in got}
+    assert Counter((size[t], b) for t, b in home.items()) == want
 
 
 def test_shards(spark):
@@ -96,7 +135,7 @@ def test_shards(spark):
     assert set(load) == set(range(24)) and all(len(s) == 1 for s in home.values())
     assert all(sorted(r.slot for r in rows) == list(range(len(rows))) for rows in load.values())
     sizes = [sum(r.size for r in rows) for rows in load.values()]
-    assert max(sizes) < 1.05 * min(sizes)
+    assert max(sizes) < 1.01 * min(sizes)
     assert shard_documents(docs.limit(0)).count() == 0
     assert len({r.shard for r in shard_documents(docs.where("text = 'same text'")).collect()}) == 1
 
@@ -204,6 +243,15 @@ def test_headers_and_licence_files(spark):
     assert all(got[1000 + i] == "MIT" for i in range(50))
 
 
+def test_tags_and_both_bsd_files(spark):
+    conditions = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n1. Keep the notice.\n"
+    third = "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+    texts = {"# SPDX-License-Identifier: MIT\nimport os\n": "MIT", "// SPDX-License-Identifier: GPL-3.0-or-later\n" + "word " * 900: "GPL-3.0", "/* SPDX-License-Identifier: Apache-2.0 */": "Apache-2.0", "# SPDX-License-Identifier: Foo-1.0": None, "Copyright 2020\n" + conditions: "BSD-2-Clause", "Copyright 2020\n" + conditions + third: "BSD-3-Clause"}
+    files = [(f"d{i}/x.c", t, i) for i, t in enumerate(texts)]
+    got = {r.license_id: r.license for r in lic.license_scan(spark.createDataFrame(files, "path string, text string, license_id int").repartition(3)).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
 def test_best_windows_are_those_of_brute_force():
     rng = random.Random(3)
     idf, rare = lic.inverse_frequencies({"license": 50, "the": 40, "under": 20}, 60)
@@ -267,13 +315,44 @@ def luhn(s):
 
 def test_colliding_surrogates_are_drawn_again(spark):
     """Forty of the hundred two-digit forms: first draws collide, with each other and with originals."""
-    found = spark.createDataFrame([("other", f"{i:02d}") for i in range(40)], "kind string, canon string")
-    made = pii.surrogates(found, "k", rounds=64)
-    rows = made.collect()
+    found = spark.createDataFrame([("other", f"{i:02d}", "n") for i in range(40)], "kind string, canon string, gender string")
+    rows = pii.surrogates(found, "k").collect()
     originals = {f"{i:02d}" for i in range(40)}
     assert len(rows) == 40 and len({r.made for r in rows}) == 40 and not {r.made for r in rows} & originals
 
 
+def test_a_full_format_is_widened(spark):
+    """All ten one-digit forms are originals, so none is free."""
+    found = spark.createDataFrame([("other", str(i), "n") for i in range(10)], "kind string, canon string, gender string")
+    made = {r.canon: r.made for r in pii.surrogates(found, "k").collect()}
+    assert set(made) == set("0123456789") and len(set(made.values())) == 10 and all(len(m) > 1 and m.isdigit() for m in made.values())
+
+
+def test_names_keep_coreference(spark):
+    texts = ["Mr John Smith met. Mr Smith left. Dr Smith came. Herr SMITH!", "Mrs Jane Doe and Dr Jane Doe and Prof Doe", "Mr Jane-Paul Doe", "Dr Ольга Иванова и Frau Ольга Петрова"]
+    texts += [" ".join(f"Mr {chr(65 + i)}{chr(97 + j)}" for j in range(26)) for i in range(26)]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(3)
+    got = {r.text.split()[0] + str(len(r.text.split())): r.text for r in pii.replace_pii(docs).collect()}
+    one = next(t for t in got.values() if t.endswith("!"))
+    words = one.replace(".", "").replace("!", "").split()
+    first, family = words[1], words[2]
+    assert words == ["Mr", first, family, "met", "Mr", family, "left", "Dr", family, "came", "Herr", family.upper()] and first in pii.GIVEN[("latin", "m")]
+    two = next(t for t in got.values() if t.startswith("Mrs")).split()
+    assert two[1:3] == two[5:7] and two[9] == two[2] and two[1] in pii.GIVEN[("latin", "f")]
+    russian = next(t for t in got.values() if "Frau" in t).split()
+    assert russian[1] == russian[5] and all("а" <= c.lower() <= "я" for c in russian[1] + russian[2])
+    short = [w for t in got.values() if len(t.split()) == 52 for w in t.split() if w != "Mr"]
+    assert len(short) == 676 == len(set(short))
+
+
+def test_ipv6_and_very_long_names(spark):
+    texts = ["from 2001:db8::17 to 2001:DB8:0:1:2:3:4:9 at 10:20 std::string a::b", "Mr " + "Zy" * 3000 + " came"]
+    got = [r.text for r in pii.replace_pii(spark.createDataFrame([(1, texts[0]), (2, texts[1])], "doc_id long, text string")).orderBy("doc_id").collect()]
+    words, old = got[0].split(), texts[0].split()
+    assert words[1] != old[1] and words[1].count(":") == 3 and words[3] != old[3] and words[3].count(":") == 7 and words[4:] == old[4:]
+    assert "ZyZy" not in got[1] and got[1].endswith(" came")
+
+
 def test_no_python_runs_in_surrogates(spark):
     plan = pii.replace_pii(spark.createDataFrame([(1, TEXTS[0])], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))

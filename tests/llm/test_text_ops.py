@@ -12,7 +12,7 @@ pytest.importorskip("chronoweave.llm")
 
 from chronoweave.llm import _bits, _text  # noqa: E402
 from chronoweave.llm.bpe import Encoder, bpe_encode, chunks, default_path, encode_documents  # noqa: E402
-from chronoweave.llm.quality import RULES, Page, quality_filter, quality_metrics, rejections_per_cost  # noqa: E402
+from chronoweave.llm.quality import RULES, Page, measured, ordered, quality_cascade, quality_filter, quality_metrics, rejections_per_cost  # noqa: E402
 from chronoweave.llm.secret_scan import MarkovRatio, base_spans, labelled_samples, redact_secrets, secret_scan  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -92,11 +92,22 @@ def test_verdict_is_the_same_in_any_order(docs):
         assert sorted((r[0], r[7]) for r in quality_metrics(docs, rules=rules).collect() if r[0] is not None) == want
 
 
-def test_cascade_puts_cheap_rejections_first():
-    order = [name for _, name in rejections_per_cost(["short"] * 50 + [sentence(random.Random(1), 3000)] * 5)]
+def test_cascade_puts_cheap_rejections_first(docs):
+    order = rejections_per_cost(measured(["short"] * 50 + [sentence(random.Random(1), 3000)] * 5))
     assert order.index("few_words") < order.index("repeats")
     page = Page("short")
     assert RULES[0].rejects(page) and "n_repeat_words" not in page.__dict__
+    assert {r.name for r in ordered(docs)} == {r.name for r in RULES}
+
+
+def test_cascade_stops_at_the_first_rejection(docs):
+    got = quality_cascade(docs).collect()
+    for r in got:
+        assert r.kept == (r.stopped_by is None) and 1 <= r.rules_run <= len(RULES)
+        assert not r.kept or r.rules_run == len(RULES)
+    assert sum(r.rules_run for r in got) < len(RULES) * len(got)
+    first = quality_cascade(docs, rules=RULES).where("doc_id = 0").first()
+    assert (first.stopped_by, first.rules_run) == ("few_words", 1)
 
 
 def test_quality_filter_keeps_columns(docs):
@@ -185,6 +196,44 @@ def test_chunks_join_exactly(reference, every):
             assert b"".join(enc.encode(p)[0] for p in parts) == np.array(reference.encode(r[1], add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def other_files(tmp_path):
+    """The same vocabulary by other rules, and the byte-level one."""
+    import json
+
+    import public_tokenizers
+
+    spec = json.load(open(default_path()))
+    for k, change in enumerate(({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"decoder": {"type": "BPEDecoder", "suffix": "</w>"}})):
+        (tmp_path / f"{k}.json").write_text(json.dumps(spec | change))
+        yield str(tmp_path / f"{k}.json")
+    yield public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_any_vocabulary(docs, tmp_path):
+    from tokenizers import Tokenizer
+
+    for path in other_files(tmp_path):
+        own = Tokenizer.from_file(path)
+        got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe_encode(docs, path, every=4).collect())
+        assert got == sorted((str(r[0]), *expected(own, r[1])) for r in rows()), path
+
+
+def test_large_ids_beside_null_ones(spark):
+    """In every operator that runs Python, and in the stages."""
+    from chronoweave.llm.license_scan import license_scan
+    from chronoweave.llm.ngram_join import ngram_jaccard_join
+    from chronoweave.llm.url_filters import url_verdicts
+
+    big, text = 2**60 + 1, sentence(random.Random(5), 80)
+    table = spark.createDataFrame([(big, text, 2**60 + 3), (None, text, None), (big + 2, text + " token=abcdef123", 5)], "doc_id long, text string, n_chars long").coalesce(1)
+    for f in (quality_metrics, quality_filter, secret_scan, redact_secrets, bpe_encode, encode_documents, ngram_jaccard_join):
+        assert {r.doc_id for r in f(table).collect()} == {big, None, big + 2}, f.__name__
+    assert {r.n_chars for r in quality_filter(table).collect()} == {2**60 + 3, None, 5}
+    assert {r.doc_id for r in license_scan(table.withColumnRenamed("n_chars", "path").selectExpr("doc_id", "text", "string(path) AS path")).collect()} == {big, None, big + 2}
+    rules = spark.createDataFrame([("com", "/", "allow")], "host string, path string, verdict string")
+    assert {r.page_id for r in url_verdicts(table.selectExpr("doc_id AS page_id", "'http://a.com/' AS url"), rules).collect()} == {big, None, big + 2}
+
+
 @pytest.mark.parametrize("every", (4, 64))
 def test_bpe_round_trip(docs, reference, every):
     got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe_encode(docs, every=every).collect())
