@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import QueryError
 from ..functions.expr import Expr, call, compiled, has_aggregate, literal
 from ..functions.nil import filled
+from ..shared import save
 from ..types import FLOAT, SUBTRACTABLE, difference
 
 if TYPE_CHECKING:
@@ -126,12 +127,8 @@ def _asof(left: Frame, right: Frame, l_df: DataFrame, r_df: DataFrame, kl, kr, t
     rows = lefts.withColumn("_r", F.lit(None).cast(rights.schema["_r"].dataType)).withColumn("_side", F.lit(1)).unionByName(
         rights.withColumn("_l", F.lit(None).cast(lefts.schema["_l"].dataType)).withColumn("_side", F.lit(0))
     )
-    span = _spans(rows, keys)
-    if span is not None:
-        rows = rows.withColumn("_span", span)
-        keys_in = [*keys, "_span"]
-    else:
-        keys_in = keys
+    spanned = _spanned(rows, keys)
+    rows, keys_in = (rows, keys) if spanned is None else (spanned, [*keys, "_span"])
 
     def seen(back: bool, right_first: bool) -> Column:
         """The right row that a left row sees, looking back or ahead within its span."""
@@ -148,7 +145,7 @@ def _asof(left: Frame, right: Frame, l_df: DataFrame, r_df: DataFrame, kl, kr, t
         # strictly after, so that equal times are the backward match
         ahead = ("_ahead", seen(False, strict or direction == "nearest"))
     whole = rows.select("*", *(c.alias(n) for n, c in filter(None, (back, ahead)))).where("_side = 1")
-    if span is not None:
+    if spanned is not None:
         whole = _carried(rows, whole, keys, bool(back), bool(ahead))
     at = lambda n: F.when(F.col("_t").isNotNull(), F.col(n))
     ex = lambda c: Expr(t, lambda: c, (), True, "_t")
@@ -165,43 +162,39 @@ def _asof(left: Frame, right: Frame, l_df: DataFrame, r_df: DataFrame, kl, kr, t
     return whole.select(*(F.col("_l").getField(c).alias(c) for c in l_cols), F.col("_m._p").alias(found))
 
 
-def _spans(rows: DataFrame, keys: list[str]) -> Column | None:
-    """Time spans of about SPAN_ROWS rows of the largest key, or of a join without keys.
+def _spanned(rows: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The rows written by ranges of key and time, whose number is ``_span``; None where one window can sort each key.
 
-    None where one window can sort them.  Only tables whose estimated size says that a
-    key could be too large are counted.
+    Ranges split a key, or a join without keys, at any times of any type, but never between
+    equal times.  Only tables whose estimated size says that a key could be too large are counted.
     """
     if int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SPAN_ROWS * ROW_BYTES:
         return None
-    largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    n, kind = largest // SPAN_ROWS, dict(rows.dtypes)["_t"]
-    if n < 1:
-        return None
-    if kind == "timestamp_ntz":
-        number = F.unix_micros(F.col("_t").cast("timestamp"))
-    elif kind == "date":
-        number = F.unix_date("_t")
-    elif kind in ("bigint", "double"):
-        number = F.col("_t")
-    else:
+    found = rows.groupBy(*keys).count().agg(F.max("count").alias("largest"), F.sum("count").alias("all")).first()
+    if (found["largest"] or 0) <= SPAN_ROWS:
         return None
-    cuts = rows.agg(F.percentile_approx(number.cast("double"), [i / (n + 1) for i in range(1, n + 1)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    # spans are numbered by the cuts at or below a time
-    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= number.cast("double"))), F.lit(0)) if cuts else None
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), found["all"] // SPAN_ROWS + 1)
+    return save(rows.repartitionByRange(n, *keys, "_t").withColumn("_span", F.spark_partition_id()))
 
 
 def _carried(rows: DataFrame, whole: DataFrame, keys: list[str], back: bool, ahead: bool) -> DataFrame:
-    """Right rows from other spans, where a left row's own span has none: a row per span."""
-    ends = rows.where("_side = 0").groupBy(*keys, "_span").agg(
-        F.max(F.struct("_t", "_tie", "_r")).getField("_r").alias("_last"), F.min(F.struct("_t", "_tie", "_r")).getField("_r").alias("_first")
-    )
-    own = rows.select(*keys, "_span").distinct()
-    ends = ends.select(*(F.col(k).alias(f"{k}e") for k in [*keys, "_span"]), "_last", "_first")
-    match = F.lit(True)
-    for k in [*keys, "_span"]:
-        match = match & F.col(k).eqNullSafe(F.col(f"{k}e"))
-    spans = own.join(ends, match, "left").select(*keys, "_span", "_last", "_first")
+    """Right rows from other spans, where a left row's own span has none.
+
+    Only keys that go over the border of a range need any: at most one for each range.
+    """
+
+    def on(names: list[str], mark: str) -> Column:
+        match = F.lit(True)
+        for k in names:
+            match = match & F.col(k).eqNullSafe(F.col(f"{k}{mark}"))
+        return match
+
+    split = rows
+    if keys:
+        over = rows.groupBy(*keys).agg(F.min("_span").alias("_low"), F.max("_span").alias("_high")).where("_low < _high")
+        split = rows.join(over.select(*(F.col(k).alias(f"{k}o") for k in keys)), on(keys, "o"), "left_semi")
+    ends = F.when(F.col("_side") == 0, F.struct("_t", "_tie", "_r"))
+    spans = split.groupBy(*keys, "_span").agg(F.max(ends).getField("_r").alias("_last"), F.min(ends).getField("_r").alias("_first"))
     w = W.partitionBy(*keys).orderBy("_span")
     spans = spans.select(
         *keys,
@@ -210,10 +203,7 @@ def _carried(rows: DataFrame, whole: DataFrame, keys: list[str], back: bool, ahe
         F.first("_first", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)).alias("_after"),
     )
     spans = spans.select(*(F.col(k).alias(f"{k}s") for k in [*keys, "_span"]), "_before", "_after")
-    match = F.lit(True)
-    for k in [*keys, "_span"]:
-        match = match & F.col(k).eqNullSafe(F.col(f"{k}s"))
-    whole = whole.join(spans, match, "left")
+    whole = whole.join(spans, on([*keys, "_span"], "s"), "left")
     if back:
         whole = whole.withColumn("_back", F.coalesce("_back", "_before"))
     if ahead:
