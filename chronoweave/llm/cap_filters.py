@@ -25,9 +25,9 @@ Groups of near copies take no pair for each two of their vectors:
 Defined results: a vector that is null, empty, zero, or holds null or non-finite
 components has no links and is its own component; only vectors of equal length are
 compared; equal vectors collapse before and count in full after; rows that repeat a
-vec_id are separate vectors, each with its own links; a null vec_id takes links and component of its
-equal vectors, and has none where none of these has an id; an empty table gives an empty
-result; other columns are ignored.
+vec_id are separate vectors, each with its own links; a vector without an id links as any
+other, and its component is null where no vector of it has an id; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -201,7 +201,7 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
     slim = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     vectors = save(extend(slim, ["v"], read, "dim int, x binary", ["vec_id"]).withColumn("digest", F.unhex(F.sha2("x", 256))))
-    nodes = vectors.where("dim > 0").groupBy("digest").agg(F.min("vec_id").alias("node"), F.first("dim").alias("dim"), F.first("x").alias("x"), F.count("*").alias("copies")).where("node is not null")
+    nodes = vectors.where("dim > 0").groupBy("digest").agg(F.min("vec_id").alias("node"), F.first("dim").alias("dim"), F.first("x").alias("x"), F.count("*").alias("copies"))
     nodes = save(nodes.withColumnRenamed("node", "vec_id").withColumn("node", F.monotonically_increasing_id()))  # written, so that every reading finds the same keys
     every, nodes = nodes, save(nodes.withColumn("comp", F.col("node")))
     free(every)
