@@ -62,7 +62,7 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\(?(?<![0-9])[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|\+[0-9]{8,14}(?![0-9])",
-    "name": rf"\b(?:{_TITLE})\b\.?[ ]\p{{Lu}}[\p{{L}}'-]+(?:[ ]\p{{Lu}}[\p{{L}}'-]+)?",
+    "name": rf"\b(?:{_TITLE})\b\.?[ ]\p{{Lu}}[\p{{L}}'-]+(?:[ ](?!(?:{_TITLE})\b)\p{{Lu}}[\p{{L}}'-]+)?",
 }
 ENTITY = "|".join(PATTERNS.values())
 #: What every text with an entity holds: a cheap test before the pattern.
@@ -130,11 +130,17 @@ def _script(name: Column) -> Column:
     return F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").when(name.rlike(r"\p{IsLatin}"), "latin")
 
 
+def _syllables(script: str, seed: Column, n: Column) -> Column:
+    """``n`` drawn syllables of a script."""
+    known = SYLLABLES[script]
+    return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: _pick(known, _draw(seed, len(known), i))), "")
+
+
 def _composed(name: Column, seed: Column, turn: Column, gender: Column) -> Column:
     """A name of its script: syllables, one more every second draw, and an end; ``gender`` is f, m or x (a family)."""
     made = F.lit(None).cast("string")
     for (script, g), ends in ENDS.items():
-        stem = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1 if g == "x" else 2) + F.floor(turn / 2).cast("int")), lambda i, s=script: _pick(SYLLABLES[s], _draw(seed, len(SYLLABLES[s]), i))), "")
+        stem = _syllables(script, seed, F.lit(1 if g == "x" else 2) + F.floor(turn / 2).cast("int"))
         made = F.coalesce(made, F.when((_script(name) == script) & (gender == g), F.concat(stem, _pick(ends, _draw(seed, len(ends), F.lit("e"))))))
     return F.coalesce(made, F.repeat(_scrambled(name, seed, F.lit(0)), F.lit(1) + F.floor(turn / 8).cast("int")))
 

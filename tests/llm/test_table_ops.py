@@ -87,7 +87,7 @@ def test_best_fit_takes_the_tightest_bin():
             assert b == (min(fits)[1] if fits else len(free))
             free[b] = free.get(b, cap) - s
     loads = np.bincount(bins_of(pack(classes(sizes), 24)), sizes)
-    assert len(loads) == 24 and loads.max() - loads.min() <= 2
+    assert len(loads) == 24 and loads.max() == -(-sum(sizes) // 24)  # no packing does better
     assert best_fit_decreasing(classes(sizes), 1500, 3) is None
 
 
@@ -177,7 +177,7 @@ def test_license_scan(spark):
     df = spark.createDataFrame([(p, t, i) for i, (p, t) in enumerate(files)], "path string, text string, license_id int").repartition(3)
     got = {r.license_id: (r.license, r.inherited_from) for r in lic.license_scan(df).collect()}
     none = (None, None)
-    assert got == {0: ("MIT", None), 1: ("MIT", "p"), 2: ("MIT", "p"), 3: ("Apache-2.0", None), 4: ("Apache-2.0", None), 5: ("Apache-2.0", "p/q/s"), 6: none, 7: none, 8: none, 9: ("Apache-2.0", None), 10: none, 11: ("MIT", "p"), 12: none, 13: none}
+    assert got == {0: ("MIT", None), 1: ("MIT", "p"), 2: ("MIT", "p"), 3: ("Apache-2.0", None), 4: ("Apache-2.0", None), 5: ("Apache-2.0", "p/q/s"), 6: none, 7: none, 8: none, 9: ("Apache-2.0", None), 10: none, 11: ("MIT", "p"), 12: ("Apache-2.0", None), 13: none}  # a notice is found wherever it stands
     assert lic.license_scan(df.limit(0)).count() == 0
 
 
