@@ -42,13 +42,15 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._rows import batch, extend, fields, lists, slices
-from ._store import free, save
+from ._store import dealt, free, save
 
 BLOCKS = 4
 #: Filters per vector of the table.
 FILL = 256
 #: Turns of comparison with representatives at most, and the share of pairs that must link for another turn.
 TURNS, WORTH = 4, 0.05
+#: For each task: vectors or filter entries, and pairs that are compared.
+EACH, COMPARED = 100_000, 20_000
 
 
 class ProductCode:
@@ -126,7 +128,7 @@ def _scaled(values) -> bytes | None:
     return None if not np.isfinite(top) or top == 0 else (x if 1e-100 < top < 1e100 else x / top).tobytes()
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, cosine: float) -> DataFrame:
+def _linked(pairs: DataFrame, nodes: DataFrame, count: int, cosine: float) -> DataFrame:
     """The pairs (a, b) of at least ``cosine``, in double precision, with components (pa, pb) and copies (ca, cb)."""
 
     def verify(batches):
@@ -139,24 +141,25 @@ def _linked(pairs: DataFrame, nodes: DataFrame, cosine: float) -> DataFrame:
 
     out = fields("a long, b long, pa long, pb long, ca long, cb long")
     side = lambda k: nodes.select(F.col("node").alias(k), F.col("x").alias(f"x{k}"), F.col("comp").alias(f"p{k}"), F.col("copies").alias(f"c{k}"))
-    return save(pairs.join(side("a"), "a").join(side("b"), "b").select(*out.names, "xa", "xb").mapInArrow(verify, out))
+    return save(dealt(pairs.join(side("a"), "a").join(side("b"), "b"), count, COMPARED).select(*out.names, "xa", "xb").mapInArrow(verify, out))
 
 
-def _contracted(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def _contracted(nodes: DataFrame, links: DataFrame, size: int) -> DataFrame:
     near = components(links.select(F.col("pa").alias("a"), F.col("pb").alias("b")))
     own = [c for c in nodes.columns if c != "comp"]
-    out = save(nodes.join(near.withColumnRenamed("node", "comp"), "comp", "left").select(*own, F.coalesce("component", "comp").alias("comp")))
+    out = nodes.join(near.withColumnRenamed("node", "comp"), "comp", "left").select(*own, F.coalesce("component", "comp").alias("comp"))
+    out = save(dealt(out, size, EACH))
     free(nodes, near)
     return out
 
 
-def _pairs(left: DataFrame, right: DataFrame, on: list[str], which: str) -> DataFrame:
+def _pairs(left: DataFrame, right: DataFrame, on: list[str], which: str, entries: int) -> DataFrame:
     """Distinct pairs, the lesser first, of ``node`` and ``other`` that meet."""
     met = left.join(right, on).where(which)
-    return save(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+    return save(dealt(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), entries, EACH))
 
 
-def _with_balls(nodes: DataFrame, cosine: float) -> DataFrame:
+def _with_balls(nodes: DataFrame, size: int, cosine: float) -> DataFrame:
     """Nodes with ``ball``: whether they lie within half the threshold's angle of their component's mean."""
 
     def sums(batches):
@@ -184,9 +187,9 @@ def _with_balls(nodes: DataFrame, cosine: float) -> DataFrame:
     each = nodes.join(shared, "comp", "left_semi").select("comp", "x").mapInArrow(sums, part)
     spread = each.select("comp", F.posexplode("total").alias("pos", "v")).groupBy("comp", "pos").agg(F.sum("v").alias("v"))
     center = spread.groupBy("comp").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("c"))  # as many values as coordinates
-    center = save(center.select("comp", F.transform("c", lambda p: p["v"]).alias("center")))
+    center = save(dealt(center, size, EACH).select("comp", F.transform("c", lambda p: p["v"]).alias("center")))
     own = extend(nodes.join(center, "comp"), ["x", "center"], near, "ball boolean", ["node"])
-    out = save(nodes.join(own, "node", "left").withColumn("ball", F.coalesce("ball", F.lit(False))))
+    out = save(dealt(nodes.join(own, "node", "left"), size, EACH).withColumn("ball", F.coalesce("ball", F.lit(False))))
     free(center)
     return out
 
@@ -221,46 +224,49 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                 found = own[d].decode(_unit([x[i] for i in at]))
                 yield batch({"node": np.repeat(node[at], [len(f) for f in found]), "dim": np.full(sum(map(len, found)), d), "f": np.concatenate(found)}, entry)
 
+    size = sum(sizes.values())
     rows = save(nodes.select("node", "x").mapInArrow(filters, entry))
     shared = rows.groupBy("dim", "f").count().where("count > 1").drop("count")
-    every, rows = rows, save(rows.join(shared, ["dim", "f"]))
+    every, rows = rows, save(dealt(rows.join(shared, ["dim", "f"]), size, EACH // 32))
     free(every)
+    entries = rows.count()
 
     at = ["dim", "f"]
     for turn in range(TURNS):
         now = rows.join(nodes.select("node", "comp"), "node")
         first = now.groupBy(*at).agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("place"), "node", "comp")).alias("r"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         first = first.where("low <> high").select(*at, F.col("r.node").alias("other"), F.col("r.comp").alias("other_comp"))
-        pairs = _pairs(now, first, at, "comp <> other_comp")
-        links = _linked(pairs, nodes, cosine)
+        pairs = _pairs(now, first, at, "comp <> other_comp", entries)
+        count = pairs.count()
+        links = _linked(pairs, nodes, count, cosine)
         made = links.count()
         if made:
-            nodes = _contracted(nodes, links)
-        worth = made > WORTH * pairs.count()
+            nodes = _contracted(nodes, links, size)
+        worth = made > WORTH * count
         free(pairs, links)
         if not worth:
             break
 
     now = rows.join(nodes.select("node", "comp"), "node")
     main = now.groupBy(*at, "comp").agg(F.count("*").alias("k")).groupBy(*at).agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("comps"))
-    main = save(main.where("comps > 1").select(*at, F.col("m.comp").alias("main")))
+    main = save(dealt(main, entries, EACH).where("comps > 1").select(*at, F.col("m.comp").alias("main")))
     probes = now.join(main, at).where("comp <> main").select(*at, "main", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
-    pairs = _pairs(now, probes, at, "comp <> other_comp AND (comp = main OR node < other)")
-    links = _linked(pairs, nodes, cosine)
+    pairs = _pairs(now, probes, at, "comp <> other_comp AND (comp = main OR node < other)", entries)
+    links = _linked(pairs, nodes, pairs.count(), cosine)
     if links.count():
-        nodes = _contracted(nodes, links)
+        nodes = _contracted(nodes, links, size)
     free(main, pairs, links)
 
-    nodes = _with_balls(nodes, cosine)
+    nodes = _with_balls(nodes, size, cosine)
     now = rows.join(nodes.select("node", "comp", "ball"), "node")
     outside = now.where("NOT ball").select(*at, "comp", F.col("node").alias("other"))
-    pairs = _pairs(now, outside, [*at, "comp"], "ball OR node < other")
-    links = _linked(pairs, nodes, cosine)
+    pairs = _pairs(now, outside, [*at, "comp"], "ball OR node < other", entries)
+    links = _linked(pairs, nodes, pairs.count(), cosine)
     near = links.select(F.col("a").alias("node"), F.col("cb").alias("n")).unionByName(links.select(F.col("b").alias("node"), F.col("ca").alias("n"))).groupBy("node").agg(F.sum("n").alias("near"))
     label = nodes.groupBy("comp").agg(F.min("vec_id").alias("component_id"), F.sum(F.when(F.col("ball"), F.col("copies"))).alias("balled"))
     facts = nodes.join(near, "node", "left").join(label, "comp")
     n_links = F.when(F.col("ball"), F.col("balled")).otherwise(F.col("copies")) - 1 + F.coalesce("near", F.lit(0))
-    facts = save(facts.select("digest", n_links.alias("n_links"), "component_id"))
+    facts = save(dealt(facts, size, EACH).select("digest", n_links.alias("n_links"), "component_id"))
     free(rows, pairs, links, nodes)
     labels = vectors.select("vec_id", "digest").join(facts, "digest", "left")
     component = F.coalesce("component_id", "vec_id")
