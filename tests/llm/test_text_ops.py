@@ -144,6 +144,24 @@ def test_markov_models_on_held_out_strings():
     assert np.mean([model.score(s) > model.threshold for s, y in fresh if not y]) < 0.01
 
 
+def test_peaks_and_query_rows_by_brute_force(docs):
+    """The best window's ratio over all windows, and every column of the query from its spans."""
+    from chronoweave.llm.secret_scan import DRIFT, KINDS, _peak, all_spans
+
+    model, rng = MarkovRatio(labelled_samples()), random.Random(31)
+    for _ in range(60):
+        s = "".join(rng.choice("abcdefXYZ0189_") for _ in range(rng.randint(2, 40)))
+        steps = [float(model.ratio[(ord(a) & 127) * 128 + (ord(b) & 127)]) - DRIFT for a, b in zip(s, s[1:])]
+        assert _peak(model.ratio, s) == pytest.approx(max(0.0, max(sum(steps[i:j]) for i in range(len(steps)) for j in range(i + 1, len(steps) + 1))), abs=1e-4)
+    told = lambda spans: ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
+    want = []
+    for r in rows():
+        base, every = all_spans(r[1] or "", *model.plain())
+        assert base == base_spans(r[1] or "") and set(base) <= set(every) and every == sorted(every, key=lambda x: (x[0], KINDS.index(x[2])))
+        want.append((r[0], *(sum(k == kind for _, _, k in base) for kind in KINDS[:3]), hashlib.sha256(told(base).encode()).hexdigest(), told(every)))
+    assert sorted(map(tuple, secret_scan(docs).collect()), key=str) == sorted(want, key=str)
+
+
 def test_keys_without_digits_short_ones_and_those_beside_words_are_found():
     from chronoweave.llm.secret_scan import all_spans
 
