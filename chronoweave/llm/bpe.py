@@ -209,10 +209,10 @@ def _digests(ids: bytes, text: str) -> tuple[int, str, str]:
     return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
 
-def _encoded(docs: DataFrame, vocabulary: str | None, id_col: str, text_col: str, every: int):
+def _encoded(docs: DataFrame, vocabulary: str | None, id_col: str, text_col: str, every: int, digests: bool):
     """What both forms of the result are made from: the broadcast file, finished rows, and the parts of the others.
 
-    Finished rows have doc_id, ids and digests; parts have row, doc_id, k and ids, dealt by
+    Finished rows have doc_id, and digests or else ids; parts have row, doc_id, k and ids, dealt by
     row and in order of k.  Ids are binary, in the encoder's ``sent`` width.
     """
     spark = docs.sparkSession
@@ -243,8 +243,9 @@ def _encoded(docs: DataFrame, vocabulary: str | None, id_col: str, text_col: str
                 hit = _bits.maybe(np.array([h for h, _ in keys], np.int64), table.value) if keys else np.zeros(0, bool)
                 if not hit.any():
                     ids, said = enc.encode(text or "")
-                    said = enc.decode(np.frombuffer(ids, "<u4").tolist()) if said is None else said
-                    rows.append((0, row, doc_id, np.frombuffer(ids, "<u4").astype(enc.sent).tobytes(), *_digests(ids, said), None, None, None, None))
+                    said = enc.decode(np.frombuffer(ids, "<u4").tolist()) if said is None and digests else said
+                    told = (None, *_digests(ids, said)) if digests else (np.frombuffer(ids, "<u4").astype(enc.sent).tobytes(), None, None, None)
+                    rows.append((0, row, doc_id, *told, None, None, None, None))
                     continue
                 for h, run in groupby(range(len(own)), hit.__getitem__):  # runs of unshared chunks are one part
                     run = list(run)
@@ -294,7 +295,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "do
 
     ``vocabulary`` is the path of a tokenizer file on the driver; its text is broadcast.
     """
-    spec, done, parts = _encoded(docs, vocabulary, id_col, text_col, every)
+    spec, done, parts = _encoded(docs, vocabulary, id_col, text_col, every, True)
     out = fields("doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
     def assemble(batches):
@@ -317,7 +318,7 @@ HELD_IDS = 1 << 19
 
 def encode_documents(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", every: int = CHUNK_WORDS) -> DataFrame:
     """doc_id, n_tokens and token ids (array of int) of each row."""
-    spec, done, parts = _encoded(docs, vocabulary, id_col, text_col, every)
+    spec, done, parts = _encoded(docs, vocabulary, id_col, text_col, every, False)
     wide = json.loads(spec.value)
     size = max([*wide["model"]["vocab"].values(), *(t["id"] for t in wide["added_tokens"])]) + 1
     width, out = "<u2" if size <= 1 << 16 else "<u4", fields("doc_id long, n_tokens long, ids array<int>")
