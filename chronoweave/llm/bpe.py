@@ -13,8 +13,8 @@ A false hit in the filter sends a chunk the longer way and changes no result; we
 filter full, all chunks would take it.
 
 The tokenizer file decides.  Where its normaliser, splitter and decoder are those of
-WORD_RULES, encoding goes pre-token by pre-token through a bounded table of known ones,
-filled by the tokenizers library; that path is taken only for text whose characters it
+WORD_RULES, encoding goes pre-token by pre-token through bounded tables of known ones,
+filled by the tokenizers library's model; that path is taken only for text whose characters it
 treats in a plain way (Latin-1 without other control characters or added tokens).  With
 the byte-level splitter the library encodes the chunks.  With any other rules, of which
 nothing is known about white space, every text is one chunk and the library encodes and
@@ -30,6 +30,7 @@ import hashlib
 import json
 import os
 import re
+import struct
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -46,8 +47,8 @@ from ._text import BLOCK, _IS_WS, grams, words
 
 #: A chunk ends where the rolling hash of four words is 0 modulo this: so many words on average.
 CHUNK_WORDS = 64
-#: Known pre-tokens kept by each worker.
-KNOWN = 200_000
+#: Pre-tokens of each of a worker's two tables of known ones.
+KNOWN = 100_000
 _PLAIN = re.compile(r"[\t-\r\x20-\x7e\x85\xa0-\xff]*")
 _LETTERS, _NUMBERS = "a-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
@@ -92,7 +93,7 @@ class Encoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         spec = json.loads(text)
-        self.by_words = _follows(spec, WORD_RULES)
+        self.by_words, self.model = _follows(spec, WORD_RULES), self.tok.model
         #: Whether no pre-token reaches from a word over white space into the next.
         self.cuttable = self.by_words or _follows(spec, BYTE_RULES)
         self.added = [t["content"] for t in spec["added_tokens"]]
@@ -100,9 +101,9 @@ class Encoder:
         self.names = [self.tok.id_to_token(i) for i in range(size)] if self.by_words else []
         #: Ids on their way between tasks take two bytes where the vocabulary allows it.
         self.sent = "<u2" if size <= 1 << 16 else "<u4"
-        # per pre-token: its ids as bytes, and their text
-        self.blobs: dict[str, bytes] = {}
-        self.texts: dict[str, str] = {}
+        # ids as bytes of pre-tokens met since the table was last full, and of those met before
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def encode(self, text: str) -> tuple[bytes, str | None]:
         """Ids as little-endian uint32, and decode(ids, skip_special_tokens=False) where that is at hand."""
@@ -110,24 +111,34 @@ class Encoder:
             return b"", ""
         if not self.by_words or not _PLAIN.fullmatch(text) or any(t in text for t in self.added):
             return _pack(self.tok.encode(text, add_special_tokens=False).ids), None
+        if len(self.known) > KNOWN:
+            self.known, self.before = {}, self.known
         pieces = _PIECES.findall(text.lower())
-        new = set(pieces).difference(self.blobs)
-        if new:
-            if len(self.blobs) > KNOWN:
-                self.blobs.clear()
-                self.texts.clear()
-                new = set(pieces)
-            new = list(new)
-            for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-                self.blobs[p], self.texts[p] = _pack(e.ids), " ".join([self.names[i] for i in e.ids])
-        return b"".join(map(self.blobs.__getitem__, pieces)), " ".join(map(self.texts.__getitem__, pieces))
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            self._learn({p for p, ids in zip(pieces, found) if ids is None})
+            found = map(self.known.__getitem__, pieces)
+        return b"".join(found), None
+
+    def _learn(self, new: set[str]) -> None:
+        """Put pre-tokens in the table; the byte-level splitter leaves ASCII as it is, so the model alone tells the ids of that."""
+        others = []
+        for p in new:
+            if p in self.before:
+                self.known[p] = self.before[p]
+            elif p.isascii():
+                self.known[p] = _pack([t.id for t in self.model.tokenize(p)])
+            else:
+                others.append(p)
+        for p, e in zip(others, self.tok.encode_batch_fast(others, add_special_tokens=False) if others else ()):
+            self.known[p] = _pack(e.ids)
 
     def to_send(self, text: str) -> bytes:
         return np.frombuffer(self.encode(text)[0], "<u4").astype(self.sent).tobytes()
 
     def decode(self, ids: list[int]) -> str:
         """Without a decoder in the file, tokens are joined by spaces."""
-        return " ".join([self.names[i] for i in ids]) if self.by_words else self.tok.decode(ids, skip_special_tokens=False)
+        return " ".join(map(self.names.__getitem__, ids)) if self.by_words else self.tok.decode(ids, skip_special_tokens=False)
 
 
 def _encoder(spec: str) -> Encoder:
@@ -201,8 +212,8 @@ def _hash(piece: str) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def _pack(ids) -> bytes:
-    return np.asarray(ids, "<u4").tobytes()
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _digests(ids: bytes, text: str) -> tuple[int, str, str]:

@@ -214,6 +214,20 @@ def test_chunks_join_exactly(reference, every):
             assert b"".join(enc.encode(p)[0] for p in parts) == np.array(reference.encode(r[1], add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_common_words_stay_known_and_only_others_go_through_the_library(reference, monkeypatch):
+    """Rare words fill the table again and again; every ASCII pre-token is told by the model."""
+    from chronoweave.llm import bpe
+
+    monkeypatch.setattr(bpe, "KNOWN", 40)
+    enc, asked = Encoder(open(default_path()).read()), []
+    own, enc.tok = enc.tok, type("Spy", (), {"encode_batch_fast": lambda self, new, **how: asked.extend(new) or own.encode_batch_fast(new, **how)})()
+    for i in range(60):
+        text = "The common words, don't they? 3.14 <|x|> Élan " + " ".join(f"rare{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}" for j in range(20))
+        ids, _ = enc.encode(text)
+        assert np.frombuffer(ids, "<u4").tolist() == (want := reference.encode(text, add_special_tokens=False).ids) and enc.decode(want) == reference.decode(want, skip_special_tokens=False)
+    assert asked == ["élan"]
+
+
 def other_files(tmp_path):
     """The same vocabulary by other rules, and the byte-level one."""
     import json
