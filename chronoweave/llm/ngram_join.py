@@ -45,6 +45,8 @@ SKETCH = 1 << 20
 SUFFIX = 256
 #: Turns of nearest pairs at most, entries apart that they look at, and the share of proposed pairs that must link for another turn.
 TURNS, REACH, WORTH = 6, 6, 0.5
+#: Pairs for each entry that the last turn may meet; above that another turn follows if the one before has halved them.
+MEET = 8
 #: Documents of a shingle that probes meet at a time, and pairs that are filtered at a time.
 BLOCK, PAIRS = 20_000, 1 << 20
 #: For each task: prefix entries that are sorted out, entries whose neighbours are compared, documents, and pairs that are verified.
@@ -210,18 +212,26 @@ def _nearest(entries: DataFrame, nodes: DataFrame, turn: int, size: int, num: in
     return save(dealt(best.select("p.a", "p.b", "p.ca", "p.cb").distinct(), size, EACH))
 
 
-def _rest(entries: DataFrame, nodes: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def _open(entries: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(h, main, all, others): shingles whose documents are of several components, the one with most of them, and the numbers of all documents and of those outside it."""
+    by = entries.join(nodes, "doc_id").groupBy("h", "comp").agg(F.count("*").alias("k"))
+    of = by.groupBy("h").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("all"), F.count("*").alias("comps")).where("comps > 1")
+    return save(dealt(of, size, EACH).select("h", F.col("m.comp").alias("main"), "all", (F.col("all") - F.col("m.k")).alias("others")))
+
+
+def _meets(open_: DataFrame) -> int:
+    """A bound on the pairs that meet in the last turn."""
+    return open_.agg(F.sum(F.col("others") * F.col("all"))).first()[0] or 0
+
+
+def _rest(entries: DataFrame, nodes: DataFrame, open_: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """All pairs of different components that share a prefix shingle and pass the filters.
 
     Shingles with one main component go to one task, but for their documents, which are
     dealt in blocks: all shingles of a pair meet there, so that it is told once.
     """
-    rows = entries.join(nodes, "doc_id")
-    by = rows.groupBy("h", "comp").agg(F.count("*").alias("k"))
-    open_ = by.groupBy("h").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("all"), F.count("*").alias("comps")).where("comps > 1")
-    open_ = save(dealt(open_, size, EACH).select("h", F.col("m.comp").alias("main"), "all"))
     blocks = open_.groupBy("main").agg(F.ceil(F.sum("all") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(open_.drop("all").join(blocks, "main"), "h")
+    rows = entries.join(nodes, "doc_id").join(open_.select("h", "main").join(blocks, "main"), "h")
     targets = rows.select(*_ENTRY, "main", F.lit(0).alias("probe"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
     probes = rows.where("comp <> main").select(*_ENTRY, "main", F.lit(1).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     out, used = fields(_PAIR), (*_ENTRY, "main", "block", "probe")
@@ -246,9 +256,7 @@ def _rest(entries: DataFrame, nodes: DataFrame, size: int, num: int, den: int) -
             yield batch(told, out)
 
     met = dealt(targets.unionByName(probes).repartition(parts(nodes.sparkSession), "main", "block"), size, EACH).sortWithinPartitions("main", "block", "h", "probe", "n", "doc_id")
-    pairs = save(dealt(met.select(*used).mapInArrow(match, out).distinct(), size, EACH))
-    free(open_)
-    return pairs
+    return save(dealt(met.select(*used).mapInArrow(match, out).distinct(), size, EACH))
 
 
 def _once(pairs: dict) -> dict:
@@ -358,9 +366,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     size, docs_left = entries.count(), nodes.count()
     texts = _texts(docs, entries, size)
 
-    turn = 0
+    turn, open_, meets = 0, None, float("inf")
     while turn <= TURNS:
-        pairs = _nearest(entries, nodes, turn, size, num, den) if turn < TURNS else _rest(entries, nodes, size, num, den)
+        if turn == TURNS and open_ is None:
+            open_ = _open(entries, nodes, size)
+        pairs = _nearest(entries, nodes, turn, size, num, den) if turn < TURNS else _rest(entries, nodes, open_, size, num, den)
         count = pairs.count()
         links = _verified(pairs, texts, count, n, num, den)
         made = links.count()
@@ -370,10 +380,18 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             now = save(dealt(now, docs_left, NODES))
             free(nodes, near)
             nodes = now
-        turn = turn + 1 if turn == TURNS or made > WORTH * count else TURNS  # too few links: on to the last turn
         free(pairs, links)
+        turn += 1
+        if turn < TURNS and made <= WORTH * count:  # few links: on to the last turn, if turns no longer make that much smaller
+            open_ = _open(entries, nodes, size)
+            before, meets = meets, _meets(open_)
+            if made and MEET * size < meets < before / 2:
+                free(open_)
+                open_ = None
+            else:
+                turn = TURNS
 
     known = save(sets.join(nodes.select("doc_id", "comp"), "doc_id", "left").select("d1", "d2", "n", "comp"))
-    free(entries, nodes, texts)
+    free(entries, nodes, texts, open_)
     out = every.select("doc_id", "n", "d1", "d2").join(known, ["d1", "d2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -81,6 +81,33 @@ def test_ngram_join(spark):
     check_join(spark)
 
 
+def test_near_copies_are_not_left_to_the_last_turn(spark, monkeypatch):
+    """One large group of near copies beside many pairs that almost link, so that few proposed pairs do."""
+    rng = random.Random(11)
+    make = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    def copy(base, places):
+        out = list(base)
+        for at in places:
+            out[at] = f"c{rng.randrange(10**6)}"
+        return " ".join(out)
+
+    cluster, ts = make(200), []
+    for _ in range(160):
+        ts.append(copy(cluster, rng.sample(range(200), 3)))
+    for _ in range(120):  # 29 of 196 shingles differ: 0.742
+        base = make(200)
+        ts += [" ".join(base), copy(base, range(50, 75))]
+    s = sets(ts)
+    links = [(a, b) for a in range(len(s)) for b in range(a) if 100 * len(s[a] & s[b]) >= 75 * len(s[a] | s[b])]
+    want = lowest(range(len(ts)), links)
+    counts, verified = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, texts, count, *how: counts.append(count) or verified(pairs, texts, count, *how))
+    docs = spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in ngram_jaccard_join(docs).collect()} == want
+    assert sum(counts) < 3 * len(ts) < len(links), counts
+
+
 def test_last_turn_alone(spark, monkeypatch):
     """Without turns of nearest pairs, few entries a task, and common shingles dealt in blocks."""
     monkeypatch.setattr(ngram_join, "BLOCK", 5)
