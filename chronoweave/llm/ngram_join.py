@@ -46,7 +46,7 @@ SUFFIX = 256
 #: Turns of nearest pairs at most, entries apart that they look at, and the share of proposed pairs that must link for another turn.
 TURNS, REACH, WORTH = 6, 6, 0.5
 #: Pairs for each entry that the last turn may meet; above that another turn follows if the one before has halved them.
-MEET = 8
+MEET = 64
 #: Documents of a shingle that probes meet at a time, and pairs that are filtered at a time.
 BLOCK, PAIRS = 20_000, 1 << 20
 #: For each task: prefix entries that are sorted out, entries whose neighbours are compared, documents, and pairs that are verified.
