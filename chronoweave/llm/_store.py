@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import free, save  # noqa: F401
+from ..shared import free, save, sweep  # noqa: F401
 
 
 def parts(spark: SparkSession) -> int:

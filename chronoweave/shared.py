@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,18 +37,25 @@ def new_folder(spark: SparkSession) -> str:
     return path
 
 
+#: By path, the session and a weak reference to what reads the table, of each that is not deleted.
+_SAVED: dict[str, tuple] = {}
+
+
 def save(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     The written table cuts the lineage, so that losing an executor later costs a reread
     and not a recomputation, and several readers share one computation.  It is deleted by
-    :func:`free`, or else when the driver ends.
+    :func:`free` or :func:`sweep`, or else when the driver ends.
     """
     spark = df.sparkSession
     path = new_folder(spark)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cw_path = path
+    plan = out._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation":  # every plan that reads the table holds its one index of files
+        _SAVED[path] = spark, spark._jvm.java.lang.ref.WeakReference(plan.relation().location())
     return out
 
 
@@ -56,3 +64,21 @@ def free(*tables: DataFrame) -> None:
     for df in tables:
         at, files = _at(df.sparkSession, df._cw_path)
         files.delete(at, True)
+        _SAVED.pop(df._cw_path, None)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the tables of :func:`save` in this application that no DataFrame can read any more.
+
+    Python's garbage and the JVM's are collected first, which also lets Spark delete shuffle files.
+    What Python lets go here is known to the JVM a second later, so to the next call.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+    for path, (owner, index) in list(_SAVED.items()):
+        if owner.sparkContext is not spark.sparkContext:  # of a driver that has ended
+            del _SAVED[path]
+        elif index.refersTo(None):
+            at, files = _at(spark, path)
+            files.delete(at, True)
+            del _SAVED[path]

@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and reread as the next stage's docs.  All but the last return the columns of
-``documents``.
+``documents``.  A stage first deletes what earlier ones wrote for results that are gone.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm._store import save
+from chronoweave.llm._store import save, sweep
 from chronoweave.llm.bpe import encode_documents
 from chronoweave.llm.mixing import mixed
 from chronoweave.llm.ngram_join import ngram_jaccard_join
@@ -20,11 +20,13 @@ from chronoweave.llm.secret_scan import redact_secrets
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
+    sweep(spark)
     return quality_filter(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked rows, one with the least doc_id (null last); documents without words all stay."""
+    sweep(spark)
     keyed = save(docs.withColumn("_row", F.monotonically_increasing_id()))  # rows by a written key, as ids may be null or repeat
     found = ngram_jaccard_join(keyed, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
     ranked = found.join(keyed.select("_row", F.col("doc_id").isNull().alias("none"), "doc_id"), "_row")
@@ -34,16 +36,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked in the text and n_chars to match."""
+    sweep(spark)
     return redact_secrets(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
+    sweep(spark)
     return mixed(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and the token ids of each kept row."""
+    sweep(spark)
     return encode_documents(docs)
 
 

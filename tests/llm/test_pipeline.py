@@ -96,3 +96,26 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, docs, "").columns == docs.columns
         assert stage(spark, docs.limit(0), "").count() == 0
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_delete_the_tables_of_results_that_are_gone(spark):
+    import os
+    import time
+
+    import corpus_pipeline
+
+    rows = [(i, " ".join(f"w{i % 4}x{j}" for j in range(60)), "en", "s", 300) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.near_duplicates(spark, docs, "")
+    folders = {os.path.dirname(f.removeprefix("file://")) for f in found.inputFiles()}
+    later = found.where("doc_id >= 0")
+    del found
+    corpus_pipeline.secrets(spark, docs, "")
+    assert folders and all(map(os.path.exists, folders))  # as another DataFrame reads them
+    assert sorted(r.doc_id for r in later.collect()) == [0, 1, 2, 3]
+    del later
+    for _ in range(2):
+        corpus_pipeline.secrets(spark, docs, "")
+        time.sleep(2)  # Python tells the driver's JVM a second later
+    corpus_pipeline.secrets(spark, docs, "")
+    assert not any(map(os.path.exists, folders))
