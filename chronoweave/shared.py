@@ -54,8 +54,8 @@ def save(df: DataFrame) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out._cw_path = path
     plan = out._jdf.queryExecution().analyzed()
-    if plan.getClass().getSimpleName() == "LogicalRelation":  # every plan that reads the table holds its one index of files
-        _SAVED[path] = spark, spark._jvm.java.lang.ref.WeakReference(plan.relation().location())
+    if plan.getClass().getSimpleName() == "LogicalRelation":  # each reading has a format object of its own, which its plans and also their RDDs hold
+        _SAVED[path] = spark, spark._jvm.java.lang.ref.WeakReference(plan.relation().fileFormat())
     return out
 
 
@@ -68,7 +68,7 @@ def free(*tables: DataFrame) -> None:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Delete the tables of :func:`save` in this application that no DataFrame can read any more.
+    """Delete the tables of :func:`save` in this application that no DataFrame, RDD or iterator can read any more.
 
     Python's garbage and the JVM's are collected first, which also lets Spark delete shuffle files.
     What Python lets go here is known to the JVM a second later, so to the next call.

@@ -119,3 +119,19 @@ def test_stages_delete_the_tables_of_results_that_are_gone(spark):
         time.sleep(2)  # Python tells the driver's JVM a second later
     corpus_pipeline.secrets(spark, docs, "")
     assert not any(map(os.path.exists, folders))
+
+
+def test_stages_keep_the_tables_that_an_rdd_or_iterator_reads(spark):
+    import time
+
+    import corpus_pipeline
+    from chronoweave.shared import save
+
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    rows = save(spark.range(0, 40000, 1, 8)).rdd
+    each = save(spark.range(0, 40000, 1, 8)).toLocalIterator()
+    next(each)
+    for _ in range(2):
+        time.sleep(2)  # Python tells the driver's JVM a second later
+        corpus_pipeline.secrets(spark, docs, "")
+    assert rows.count() == 40000 and sum(1 for _ in each) == 39999
