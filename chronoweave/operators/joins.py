@@ -131,12 +131,16 @@ def _asof(left: Frame, right: Frame, l_df: DataFrame, r_df: DataFrame, kl, kr, t
     rows, keys_in = (rows, keys) if spanned is None else (spanned, [*keys, "_span"])
 
     def seen(back: bool, right_first: bool) -> Column:
-        """The right row that a left row sees, looking back or ahead within its span."""
+        """The right row that a left row sees, looking back or ahead within its span.
+
+        Ahead looks back through the rows in reverse: Spark keeps a value running from the
+        first row on, but goes over all rows that follow anew for each row.
+        """
         side = F.col("_side") if right_first else -F.col("_side")
-        w = W.partitionBy(*keys_in).orderBy(F.col("_t").asc_nulls_first(), side.asc(), F.col("_tie").asc())
-        if back:
-            return F.last("_r", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-        return F.first("_r", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
+        up = (F.col("_t").asc_nulls_first(), side.asc(), F.col("_tie").asc_nulls_first())
+        down = (F.col("_t").desc_nulls_last(), side.desc(), F.col("_tie").desc_nulls_last())
+        w = W.partitionBy(*keys_in).orderBy(*(up if back else down))
+        return F.last("_r", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
 
     back = ahead = None
     if direction in ("backward", "nearest"):

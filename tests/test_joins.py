@@ -60,6 +60,19 @@ def test_asof_without_keys(spark, monkeypatch, direction, span):
     assert out == brute(left, right, False, direction, None, keyed=False)
 
 
+@pytest.mark.parametrize("direction,strict", (("forward", False), ("forward", True)))
+def test_looking_ahead_is_one_running_pass(spark, direction, strict):
+    """A frame that ends with the last row is gone over anew for each row: quadratic in a window's rows."""
+    rng = random.Random(5)
+    left = [(None, rng.randint(0, 900), i) for i in range(2000)]
+    right = [(None, rng.randint(0, 900), 10_000 + i) for i in range(1000)]  # with ties
+    lf = Frame.rows(spark, {"k": INT, "t": INT, "i": INT}, left)
+    out = lf.join(Frame.rows(spark, {"t": INT, "v": INT}, [r[1:] for r in right]), asof="t", strict=strict, direction=direction)
+    plan = out.df._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+    assert out.collect() == brute(left, right, strict, direction, None, keyed=False)
+
+
 def test_true_nearest_with_keys(spark):
     left = Frame.rows(spark, {"k": STRING, "t": INT}, [("A", 2), ("A", 10)])
     right = Frame.rows(spark, {"k": STRING, "t": INT, "v": INT}, [("B", 3, 1), ("A", 4, 2)])
