@@ -199,13 +199,8 @@ def _carried(rows: DataFrame, whole: DataFrame, keys: list[str], back: bool, ahe
         split = rows.join(over.select(*(F.col(k).alias(f"{k}o") for k in keys)), on(keys, "o"), "left_semi")
     ends = F.when(F.col("_side") == 0, F.struct("_t", "_tie", "_r"))
     spans = split.groupBy(*keys, "_span").agg(F.max(ends).getField("_r").alias("_last"), F.min(ends).getField("_r").alias("_first"))
-    w = W.partitionBy(*keys).orderBy("_span")
-    spans = spans.select(
-        *keys,
-        "_span",
-        F.last("_last", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("_before"),
-        F.first("_first", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)).alias("_after"),
-    )
+    up, down = (W.partitionBy(*keys).orderBy(o).rowsBetween(W.unboundedPreceding, -1) for o in (F.asc("_span"), F.desc("_span")))
+    spans = spans.select(*keys, "_span", F.last("_last", ignorenulls=True).over(up).alias("_before"), F.last("_first", ignorenulls=True).over(down).alias("_after"))
     spans = spans.select(*(F.col(k).alias(f"{k}s") for k in [*keys, "_span"]), "_before", "_after")
     whole = whole.join(spans, on([*keys, "_span"], "s"), "left")
     if back:

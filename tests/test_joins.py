@@ -60,7 +60,7 @@ def test_asof_without_keys(spark, monkeypatch, direction, span):
     assert out == brute(left, right, False, direction, None, keyed=False)
 
 
-@pytest.mark.parametrize("direction,strict", (("forward", False), ("forward", True)))
+@pytest.mark.parametrize("direction,strict", (("forward", False), ("forward", True), ("nearest", False)))
 def test_looking_ahead_is_one_running_pass(spark, direction, strict):
     """A frame that ends with the last row is gone over anew for each row: quadratic in a window's rows."""
     rng = random.Random(5)
