@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import and_, bar, call, count, duration, len_, mean, not_, prod, stddev, sum_, to_date, to_float, to_int, to_string, to_time, to_timestamp, variance, wavg
@@ -34,8 +34,15 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> Frame:
     return parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
+def _round(c: Column, digits: int) -> Column:
+    """Digits of a Float64 as the SQL's ``round`` gives them: the scaled double is rounded, where Spark rounds its decimal text."""
+    scale = F.lit(10.0**digits)
+    out = F.round(c * scale) / scale
+    return F.when(F.isnan(out) | (F.abs(out) == float("inf")), c).otherwise(out)
+
+
 def _rounded(df: DataFrame, **digits: int) -> DataFrame:
-    return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
+    return df.withColumns({c: _round(F.col(c), n) for c, n in digits.items()})
 
 
 def _us(df: DataFrame, *durations: str) -> DataFrame:
@@ -275,7 +282,7 @@ def int_ops(spark, sf_dir):
 def float_ops(spark, sf_dir):
     t = _t(spark, sf_dir, "lineitem")
     out = t.query({"l_orderkey": t.l_orderkey, "l_linenumber": t.l_linenumber, "a": t.l_extendedprice + t.l_quantity, "d": t.l_extendedprice / t.l_quantity, "z": t.l_quantity / t.l_discount, "m": t.l_extendedprice * t.l_linenumber})
-    return _rounded(out.to_df(), a=4, d=8, m=4).withColumn("z", F.when(F.col("z") < float("inf"), F.round("z", 8)).otherwise(F.col("z")))
+    return _rounded(out.to_df(), a=4, d=8, z=8, m=4)
 
 
 @query("SELECT event_id, event_id & 255 AS a, event_id | 15 AS o, event_id << 3 AS l, event_id >> 2 AS r FROM events")

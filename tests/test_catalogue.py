@@ -41,6 +41,16 @@ def test_query(spark, duck, sf_dir, name):
     assert sorted(tuple(map(_norm, r)) for r in df.collect()) == want
 
 
+def test_values_between_two_digits_round_as_in_sql(spark, tmp_path):
+    """Prices with a 5 behind the last digit, and too large for the digits; compared whole."""
+    con = duckdb.connect()
+    price = "CASE WHEN i % 50 = 0 THEN i * 1e11 + 0.12345 ELSE i * 17.7 + (i % 997) / 32768.0 END"
+    con.execute(f"CREATE TABLE lineitem AS SELECT i AS l_orderkey, (i % 7 + 1)::INTEGER AS l_linenumber, {price} * (1 - i % 2 * 2) AS l_extendedprice, (i % 50 + 1) / 8.0 AS l_quantity, (i % 11) / 100.0 AS l_discount FROM range(3000) t(i)")
+    con.execute(f"COPY lineitem TO '{tmp_path}/lineitem.parquet'")
+    got = [tuple(r) for r in QUERIES["float_ops"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(con.execute(SQL["float_ops"]).fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
