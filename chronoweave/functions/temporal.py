@@ -78,6 +78,8 @@ for _unit, _ns in UNITS.items():
 #: Accepted layouts of dates, times, and both; a fraction of up to nine digits may follow.
 _DATE_RE = r"(\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{8})"
 _TIME_RE = r"(\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)"
+#: The layout in which moments are stored, which a cast reads alike.
+_STORED_RE = r"^(?!0000)\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d{1,6})?\z"
 
 
 def _day(text: Column) -> Column:
@@ -108,7 +110,8 @@ def parse_timestamp(text: Column) -> Column:
     both = text.rlike(f"^{_DATE_RE}[ T]{_TIME_RE}$")
     clock = F.when(both | text.rlike(f"^{_TIME_RE}$"), _of_day(F.regexp_extract(text, f"{_TIME_RE}$", 1))).when(text.rlike(f"^{_DATE_RE}$"), F.lit(0))
     day = F.when(text.rlike(f"^{_TIME_RE}$"), F.lit(0)).otherwise(F.unix_date(_day(text)))
-    return from_micros(day.cast("long") * DAY_US + exact_us(clock), TIMESTAMP)
+    found = from_micros(day.cast("long") * DAY_US + exact_us(clock), TIMESTAMP)
+    return F.when(text.rlike(_STORED_RE), text.try_cast("timestamp_ntz")).otherwise(found)
 
 
 def parse_timedelta(text: Column) -> Column:

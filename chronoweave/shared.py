@@ -22,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints/chronoweave"
 
 
-def _at(spark: SparkSession, path: str):
+def located(spark: SparkSession, path: str):
     """The path and its file system."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
@@ -31,7 +31,7 @@ def _at(spark: SparkSession, path: str):
 def new_folder(spark: SparkSession) -> str:
     """A path of its own under the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/cw-{uuid.uuid4().hex}"
-    at, files = _at(spark, path)
+    at, files = located(spark, path)
     files.mkdirs(at)
     files.deleteOnExit(at)
     return path
@@ -62,7 +62,7 @@ def save(df: DataFrame) -> DataFrame:
 def free(*tables: DataFrame) -> None:
     """Delete tables written by :func:`save`."""
     for df in tables:
-        at, files = _at(df.sparkSession, df._cw_path)
+        at, files = located(df.sparkSession, df._cw_path)
         files.delete(at, True)
         _SAVED.pop(df._cw_path, None)
 
@@ -79,6 +79,6 @@ def sweep(spark: SparkSession) -> None:
         if owner.sparkContext is not spark.sparkContext:  # of a driver that has ended
             del _SAVED[path]
         elif index.refersTo(None):
-            at, files = _at(spark, path)
+            at, files = located(spark, path)
             files.delete(at, True)
             del _SAVED[path]

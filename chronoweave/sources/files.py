@@ -6,16 +6,19 @@ import csv
 import io
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import parsed, text_of
 from ..operators.frame import Frame, hidden, quoted
-from ..types import BOOL, DATE, FLOAT, INT, STRING, TIME, TIMESTAMP, Row, Type, from_spark
+from ..shared import located, new_folder
+from ..types import BOOL, CHAR, DATE, FLOAT, INT, STRING, TIME, TIMESTAMP, Row, Type, from_spark
 
 #: Data rows from which a row type is inferred.
 SAMPLE_ROWS = 9
+#: Buffer with which parts of a stored CSV are copied.
+COPY_BYTES = 1 << 20
 _DATE = r"(\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{8})"
 _TIME = r"\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?"
 #: In order of trial: what each non-empty cell must be, and whether cells may be empty.
@@ -101,27 +104,46 @@ def parquet(spark: SparkSession, path: str, columns: list[str] | None = None) ->
     return Frame(df.select(*cols, *rest, F.col("_metadata.file_path").alias(f), F.col("_metadata.row_index").alias(i)), row, [(f, True), (i, True)])
 
 
+def _cell(text: Column, t: Type) -> Column:
+    """Text of a value as a cell; only texts and characters can need quotes."""
+    if t not in (STRING, CHAR):
+        return text
+    needs = text.contains(",") | text.contains('"') | text.contains("\n")
+    return F.when(needs, F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
 def csv_store(frame: Frame, path: str, single: bool = True) -> None:
     """Write CSV with a header, in row order.
 
-    ``single`` makes ``path`` one file, for tables of a size to exchange by file; without
-    it a folder of sorted parts is written in parallel.  A cell is quoted where it holds a
-    comma; a quote inside is doubled.  Floats take six decimals without the zeros at the end.
+    Sorted parts are written in parallel.  ``single`` joins them to one file at ``path``,
+    whose bytes the driver copies; without it they stay a folder, and have no header.  A
+    cell is quoted where it holds a comma; a quote inside is doubled.  Floats take six
+    decimals without the zeros at the end.
     """
-    cells = [F.when(c.contains(",") | c.contains('"') | c.contains("\n"), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c) for c in (text_of(quoted(n), t) for n, t in frame.row.items())]
+    cells = [_cell(text_of(quoted(n), t), t) for n, t in frame.row.items()]
     df = frame.df.orderBy(*frame.order_by()) if frame.order else frame.df
     lines = df.select(F.concat_ws(",", *cells).alias("value"))
     if not single:
         lines.write.mode("overwrite").text(path)
         return
     spark = frame.spark
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    out = fs.create(target, True)
+    hadoop = spark._jvm.org.apache.hadoop
+    folder = new_folder(spark)
+    lines.write.mode("overwrite").option("compression", "none").option("lineSep", "\n").text(folder)
+    at, source = located(spark, folder)
+    parts = [p.getPath() for p in source.listStatus(at) if p.getPath().getName().startswith("part-")]
+    parts.sort(key=lambda p: [*map(int, re.fullmatch(r"part-(\d+).*-c(\d+)\D*", p.getName()).groups())])
+    target, files = located(spark, path)
+    out = files.create(target, True)
     try:
         out.write(bytearray((",".join(frame.row) + "\n").encode()))
-        for r in lines.toLocalIterator():  # a partition at a time
-            out.write(bytearray((r[0] + "\n").encode()))
+        for p in parts:  # bytes from file to file, within the JVM
+            part = source.open(p)
+            try:
+                hadoop.io.IOUtils.copyBytes(part, out, COPY_BYTES)
+            finally:
+                part.close()
+            source.delete(p, False)
     finally:
         out.close()
+        source.delete(at, True)

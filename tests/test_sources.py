@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 
+from chronoweave import shared
 from chronoweave.errors import QueryError
 from chronoweave.functions import bar, duration, len_, mean, sum_, variance
 from chronoweave.operators import Frame
@@ -39,6 +40,15 @@ def test_load(spark, path):
     assert rows[1][4] is None and rows[2][5] == 1000.0 and rows[2][8] is None
 
 
+def test_moments_as_stored_load_like_other_layouts(spark, tmp_path):
+    """What a cast reads beyond the accepted layouts stays missing, and both ways to read agree."""
+    held = {"0001-01-01 00:00:00": dt.datetime(1, 1, 1), "1582-10-10 01:02:03.5": dt.datetime(1582, 10, 10, 1, 2, 3, 500_000), "2020-02-29 23:59:59.000001": dt.datetime(2020, 2, 29, 23, 59, 59, 1)}
+    none = ["2021-02-29 00:00:00", "2020-13-01 00:00:00", "2020-01-01 24:00:00", "2020-01-01 00:60:00", "2020-01-01 00:00:60", "2020-1-1 00:00:00", "2020-01-01 00:00:00Z"]
+    texts = [*held, *(t.replace("-", "/", 2) for t in held), *none]
+    (tmp_path / "m.csv").write_text("at\n" + "".join(f"{t}\n" for t in texts))
+    assert [r[0] for r in csv_load(spark, str(tmp_path / "m.csv"), {"at": TIMESTAMP}).collect()] == [*held.values(), *held.values(), *[None] * len(none)]
+
+
 def test_typed_load_by_position(spark, tmp_path):
     (tmp_path / "s.csv").write_text("h,i,j\n1,x\n2,y,3,4\nbad,z,5\n")
     assert csv_load(spark, str(tmp_path / "s.csv"), {"a": INT, "b": STRING, "c": INT}).collect() == [(1, "x", None), (2, "y", 3), (None, "z", 5)]
@@ -60,6 +70,23 @@ def test_store_and_load_again(spark, tmp_path):
     assert open(out).read().splitlines()[1].startswith('"say')
 
 
+def test_store_joins_parts_in_order(spark, tmp_path, monkeypatch):
+    """Rows are written by tasks; none passes through Python."""
+    t = Frame.of(spark.range(0, 5000, 1, 13).selectExpr("id * 7919 % 5000 AS n", "concat('é,', id) AS s"), order_by=["n"])
+    rows = [f'{n},"é,{i}"' for n, i in sorted((i * 7919 % 5000, i) for i in range(5000))]
+    for f in ("toLocalIterator", "collect"):
+        monkeypatch.setattr(type(t.df), f, lambda *a, **k: pytest.fail("rows on the driver"))
+    monkeypatch.setattr(shared, "shared_dir", lambda s: str(tmp_path / "shared"))
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "150")
+    try:
+        for frame, want in ((t, rows), (t.reverse(), rows[::-1]), (t.where(t.n < 0), [])):
+            csv_store(frame, str(tmp_path / "p.csv"))
+            assert (tmp_path / "p.csv").read_text().splitlines() == ["n,s", *want]
+            assert not [f for f in (tmp_path / "shared").iterdir() if not f.name.startswith(".")]
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
 def test_stream_of_csv_files(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
