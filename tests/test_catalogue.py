@@ -51,7 +51,7 @@ def test_values_between_two_digits_round_as_in_sql(spark, tmp_path):
     assert sorted(got) == sorted(con.execute(SQL["float_ops"]).fetchall())
 
 
-@pytest.mark.parametrize("name", ("csv_load_typed",))
+@pytest.mark.parametrize("name", ("csv_load_typed", "stream_csv"))
 def test_stored_rows_stay_out_of_python(spark, sf_dir, monkeypatch, name):
     monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", lambda *a, **k: pytest.fail("rows on the driver"))
     assert QUERIES[name](spark, sf_dir).count() > 0
